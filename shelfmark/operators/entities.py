@@ -129,13 +129,10 @@ def fuzzy_word_matches(vocabulary: DataFrame, aliases: DataFrame, threshold: int
             F.substring(F.col("alias"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"),
         )
     )
-    longest = F.col("m") <= hi(F.lit(1) * F.col("top"))
-    limits = aliases.agg(F.max(F.length("alias")).alias("top"))  # one row
+    top = aliases.agg(F.max(F.length("alias"))).first()[0] or 0  # one value
     words = (
         vocabulary.select("word", F.length("word").alias("m"))
-        .join(F.broadcast(limits), F.lit(True))
-        .filter(longest)
-        .drop("top")
+        .filter(F.col("m") <= top * 3 // 2)
         .withColumn("la", F.explode(F.sequence(lo(F.col("m")), hi(F.col("m")))))
         .withColumn("k", _pieces(F.col("la"), F.col("m")))
         .filter("k <= la")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.settings import Settings
 
@@ -14,7 +15,7 @@ from shelfmark.settings import Settings
 Extractor = Callable[[bytes], str]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _utf16_text(content: pd.Series) -> pd.Series:
     def decode(raw):
         if raw is None:
