@@ -56,6 +56,7 @@ def inv(spark: SparkSession, sf: str) -> DataFrame:
     base = documents(spark, sf).selectExpr(
         "doc_id",
         "text",
+        "lang",
         "n_chars * 97 as size_bytes",
         f"timestamp_ntz'2022-01-01 00:00:00' + {hours} as modified_time",
         f"{FOLDER} as folder",
@@ -76,7 +77,7 @@ INV = f"""inv as (
     lower(regexp_extract(filename, '[^.](\\.[^.]+)$', 1)) as extension,
     regexp_extract(folder, '([^/]*)$', 1) as parent_folder
   from (select *, concat(folder, '/', filename) as relative_path from (
-    select doc_id, text, n_chars * 97 as size_bytes,
+    select doc_id, text, lang, n_chars * 97 as size_bytes,
       timestamp '2022-01-01 00:00:00' + to_hours(cast((doc_id * 37) % 20000 as int)) as modified_time,
       {FOLDER} as folder, {FILENAME.replace('{G}', '(doc_id // 8)')} as filename
     from documents)))"""
