@@ -25,6 +25,7 @@ RULES = Settings(
 )
 NAME_RULES = [R.Rule(p, c) for p, c in RULES.filename_rules.items()]
 GENERIC_RULES = [R.Rule(p, "Archive/Review") for p in categorize.GENERIC_NAMES]
+CLEAR_SIGNALS_SQL = R.any_of(categorize.CLEAR_SIGNALS, "filename")
 PATH_RULES = [*categorize.PATH_RULES, *R.named_folders(categorize.KNOWN_FOLDERS)]
 
 

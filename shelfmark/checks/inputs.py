@@ -24,7 +24,7 @@ FILENAME = (
 REPLY = (
     "case doc_id % 5 "
     "when 0 then concat('{\"category\":\"Customers/Acme\",\"confidence\":', cast(doc_id % 11 as string), "
-    "',\"entity_detected\":\"Acme ', cast(doc_id % 40 as string), '\",\"reasoning\":\"r\",\"action\":\"move\"}') "
+    "',\"entity_detected\":\"Acme ', cast(doc_id % 400 as string), '\",\"reasoning\":\"r\",\"action\":\"move\"}') "
     "when 1 then concat('Result: {\"category\":\"HR\",\"confidence\":', cast(doc_id % 10 as string), "
     "',\"reasoning\":\"r\",\"action\":\"move\"} end') "
     "when 2 then 'no json here' when 3 then '{broken' "
@@ -52,8 +52,12 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def inv(spark: SparkSession, sf: str) -> DataFrame:
     """File inventory over ``documents``."""
+    return inv_of(documents(spark, sf))
+
+
+def inv_of(docs: DataFrame) -> DataFrame:
     hours = "make_dt_interval(0, cast((doc_id * 37) % 20000 as int))"
-    base = documents(spark, sf).selectExpr(
+    base = docs.selectExpr(
         "doc_id",
         "text",
         "lang",

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
-from shelfmark.session import materialize
+from shelfmark.session import materialize, spread
 
 # A store up to this many aliases is compiled into the plan as a literal.
 INLINE_ALIASES = 200
@@ -70,7 +70,7 @@ def _joined_match(
         "alias", "w", size.alias("g"), F.substring(F.col("w"), F.lit(1), size).alias("gram")
     )
     tokens = files.select(key, F.explode(F.array_distinct(X.words(F.lower(text_col)))).alias("word"))
-    vocabulary = materialize(tokens.select("word").distinct(), "vocabulary")
+    vocabulary = spread(materialize(tokens.select("word").distinct(), "vocabulary"), "word")
     sizes = F.array(F.lit(1), F.lit(2), F.lit(3))
     word_grams = (
         vocabulary.select("word", F.explode(sizes).alias("g"))
@@ -103,6 +103,13 @@ def _pieces(alias_len: Column, word_len: Column) -> Column:
     return F.floor((alias_len + word_len) / F.lit(5)).cast("int") + 1
 
 
+def _letters_suffice(a: Column, b: Column, threshold: int) -> Column:
+    """Cheap upper bound: a common subsequence uses letters that both words have."""
+    drop = lambda x, letters: F.length(F.call_function("translate", x, letters, F.lit("")))
+    common = F.least(F.length(a) - drop(a, b), F.length(b) - drop(b, a))
+    return common * 200 >= (F.length(a) + F.length(b)) * threshold
+
+
 def fuzzy_word_matches(vocabulary: DataFrame, aliases: DataFrame, threshold: int = 80) -> DataFrame:
     """Best alias per word with indel ratio >= ``threshold`` (at least 80).
 
@@ -129,11 +136,15 @@ def fuzzy_word_matches(vocabulary: DataFrame, aliases: DataFrame, threshold: int
             F.substring(F.col("alias"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"),
         )
     )
-    top = aliases.agg(F.max(F.length("alias"))).first()[0] or 0  # one value
+    # distinct lengths, not aliases: the longest alias bounds their number
+    lengths = [r[0] for r in aliases.select(F.length("alias").alias("la")).distinct().filter("la > 0").collect()]
+    if not lengths:
+        return vocabulary.select("word", F.lit("").alias("canonical"), F.lit(0.0).alias("ratio")).limit(0)
+    known = F.array(*[F.lit(n) for n in sorted(lengths)])
+    fits = lambda la: (la >= lo(F.col("m"))) & (la <= hi(F.col("m")))
     words = (
         vocabulary.select("word", F.length("word").alias("m"))
-        .filter(F.col("m") <= top * 3 // 2)
-        .withColumn("la", F.explode(F.sequence(lo(F.col("m")), hi(F.col("m")))))
+        .withColumn("la", F.explode(F.filter(known, fits)))
         .withColumn("k", _pieces(F.col("la"), F.col("m")))
         .filter("k <= la")
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -144,11 +155,11 @@ def fuzzy_word_matches(vocabulary: DataFrame, aliases: DataFrame, threshold: int
         .filter(F.col("from") <= F.col("to"))
         .withColumn("p", F.explode(F.sequence(F.col("from"), F.col("to"))))
         .select("word", "la", "m", "i", F.substring(F.col("word"), F.col("p") + 1, F.col("len")).alias("piece"))
-        .distinct()
     )
     pairs = (
         words.join(left, ["la", "m", "i", "piece"])
         .select("word", "alias", "canonical", "ord")
+        .filter(_letters_suffice(F.col("word"), F.col("alias"), threshold))
         .dropDuplicates(["word", "alias"])
     )
     return (
@@ -170,7 +181,7 @@ def match_fuzzy(
     """
     words = F.filter(X.words(F.lower(text_col)), lambda w: F.length(w) >= 3)
     placed = files.select(key, F.posexplode(words).alias("pos", "word"))
-    vocabulary = materialize(placed.select("word").distinct(), "vocabulary")
+    vocabulary = spread(materialize(placed.select("word").distinct(), "vocabulary"), "word")
     hits = fuzzy_word_matches(vocabulary, aliases, threshold)
     return (
         placed.join(hits, "word")
