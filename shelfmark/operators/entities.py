@@ -11,6 +11,7 @@ from shelfmark.session import materialize, spread
 
 # A store up to this many aliases is compiled into the plan as a literal.
 INLINE_ALIASES = 200
+INLINE_FUZZY = 64
 
 
 def match_substrings(
@@ -110,22 +111,48 @@ def _letters_suffice(a: Column, b: Column, threshold: int) -> Column:
     return common * 200 >= (F.length(a) + F.length(b)) * threshold
 
 
-def fuzzy_word_matches(vocabulary: DataFrame, aliases: DataFrame, threshold: int = 80) -> DataFrame:
-    """Best alias per word with indel ratio >= ``threshold`` (at least 80).
+def _band(word_len: Column, alias_len: Column) -> Column:
+    """Lengths that can still reach ratio 80: neither is over 3/2 of the other."""
+    return (word_len * 3 >= alias_len * 2) & (alias_len * 3 >= word_len * 2)
+
+
+def _inline_pairs(vocabulary: DataFrame, store, threshold: int) -> DataFrame:
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(r["alias"]).alias("alias"),
+                F.lit(len(r["alias"])).alias("la"),
+                F.lit(r["canonical"]).alias("canonical"),
+                F.lit(i).alias("ord"),
+            )
+            for i, r in enumerate(store)
+        ]
+    )
+    word = F.col("word")
+    likely = lambda e: _band(F.length(word), e["la"]) & _letters_suffice(word, e["alias"], threshold)
+    return vocabulary.select("word", F.explode(F.filter(entries, likely)).alias("e")).select(
+        "word", "e.alias", "e.canonical", "e.ord"
+    )
+
+
+def _piece_pairs(vocabulary: DataFrame, aliases: DataFrame, threshold: int) -> DataFrame:
+    """Likely (word, alias) pairs for a store of any size, by an equi-join.
 
     At ratio 80 the insert/delete distance is at most a fifth of the summed
     lengths. Cutting the alias into one piece more than that distance leaves a
     piece intact in the word, near its own place. The pieces are the join key,
     so only likely pairs are scored and none is missed.
     """
-    if threshold < 80:
-        raise ValueError("the piece join is exact for thresholds of 80 and above")
     lo = lambda n: F.ceil(n * F.lit(2) / F.lit(3)).cast("int")
     hi = lambda n: F.floor(n * F.lit(3) / F.lit(2)).cast("int")
+    # distinct lengths, not aliases: the longest alias bounds their number
+    lengths = [r[0] for r in aliases.select(F.length("alias").alias("la")).distinct().filter("la > 0").collect()]
+    known = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
 
-    store = aliases.select("alias", "canonical", "ord", F.length("alias").alias("la")).filter("la > 0")
-    left = (
-        store.withColumn("m", F.explode(F.sequence(lo(F.col("la")), hi(F.col("la")))))
+    pieces = (
+        aliases.select("alias", "canonical", "ord", F.length("alias").alias("la"))
+        .filter("la > 0")
+        .withColumn("m", F.explode(F.sequence(lo(F.col("la")), hi(F.col("la")))))
         .withColumn("k", _pieces(F.col("la"), F.col("m")))
         .filter("k <= la")
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -136,15 +163,11 @@ def fuzzy_word_matches(vocabulary: DataFrame, aliases: DataFrame, threshold: int
             F.substring(F.col("alias"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"),
         )
     )
-    # distinct lengths, not aliases: the longest alias bounds their number
-    lengths = [r[0] for r in aliases.select(F.length("alias").alias("la")).distinct().filter("la > 0").collect()]
-    if not lengths:
-        return vocabulary.select("word", F.lit("").alias("canonical"), F.lit(0.0).alias("ratio")).limit(0)
-    known = F.array(*[F.lit(n) for n in sorted(lengths)])
-    fits = lambda la: (la >= lo(F.col("m"))) & (la <= hi(F.col("m")))
+    # written, so that its true size decides between broadcast and shuffle
+    pieces = materialize(pieces, "pieces")
     words = (
         vocabulary.select("word", F.length("word").alias("m"))
-        .withColumn("la", F.explode(F.filter(known, fits)))
+        .withColumn("la", F.explode(F.filter(known, lambda la: _band(F.col("m"), la))))
         .withColumn("k", _pieces(F.col("la"), F.col("m")))
         .filter("k <= la")
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -156,17 +179,32 @@ def fuzzy_word_matches(vocabulary: DataFrame, aliases: DataFrame, threshold: int
         .withColumn("p", F.explode(F.sequence(F.col("from"), F.col("to"))))
         .select("word", "la", "m", "i", F.substring(F.col("word"), F.col("p") + 1, F.col("len")).alias("piece"))
     )
-    pairs = (
-        words.join(left, ["la", "m", "i", "piece"])
-        .select("word", "alias", "canonical", "ord")
+    return (
+        words.join(pieces, ["la", "m", "i", "piece"])
         .filter(_letters_suffice(F.col("word"), F.col("alias"), threshold))
+        .select("word", "alias", "canonical", "ord")
         .dropDuplicates(["word", "alias"])
     )
+
+
+def fuzzy_word_matches(
+    vocabulary: DataFrame, aliases: DataFrame, threshold: int = 80, inline: int = INLINE_FUZZY
+) -> DataFrame:
+    """(word, canonical, ratio): best alias per word with indel ratio >= ``threshold``."""
+    if threshold < 80:
+        raise ValueError("candidate pairs are complete for thresholds of 80 and above")
+    small = aliases.orderBy("ord").limit(inline + 1).collect()  # bounded by the limit
+    if not small:
+        return vocabulary.select("word", F.lit("").alias("canonical"), F.lit(0.0).alias("ratio")).limit(0)
+    if len(small) <= inline:
+        pairs = _inline_pairs(vocabulary, small, threshold)
+    else:
+        pairs = _piece_pairs(vocabulary, aliases, threshold)
     return (
         pairs.withColumn("ratio", X.indel_ratio(F.col("word"), F.col("alias")))
         .filter(F.col("ratio") >= threshold)
         .groupBy("word")
-        .agg(F.min(F.struct(-F.col("ratio"), "ord", "canonical", "ratio")).alias("hit"))
+        .agg(F.min(F.struct((-F.col("ratio")).alias("worst"), "ord", "canonical", "ratio")).alias("hit"))
         .select("word", "hit.canonical", "hit.ratio")
     )
 
