@@ -89,7 +89,7 @@ INV = f"""inv as (
 
 def order_files(spark: SparkSession, sf: str) -> DataFrame:
     """A larger inventory without text, from ``orders``."""
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"), "o_orderkey")
     folder = F.concat_ws("/", F.substring("o_orderpriority", 3, 20), "o_orderstatus")
     name = F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.expr(
         "case o_orderkey % 6 when 0 then '.pdf' when 1 then '_v2.pdf' when 2 then '.xlsx' when 3 then '-FINAL.xlsx' "

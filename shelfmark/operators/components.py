@@ -11,29 +11,39 @@ from shelfmark.session import materialize
 def cluster_labels(edges: DataFrame) -> DataFrame:
     """(path, cluster) for membership rows (group_id, path).
 
-    Clusters are named by their smallest path. Each round takes the smallest
-    label of every group (a map-side combined aggregate, so a hub group costs
-    no more than its rows) and then jumps to the label's own label, which
-    shortens chains geometrically. Rounds end when nothing changes.
+    Clusters are named by their smallest path. Every round hooks each node to
+    the smallest node it shares a group with and then contracts the graph: the
+    nodes at least halve, groups left with one node drop out, and the rounds
+    end when no group joins two nodes. Group minima combine on the map side,
+    so a group of any size costs its rows once.
     """
     edges = materialize(edges.distinct(), "edges")
-    labels = edges.select("path", F.col("path").alias("cluster")).distinct()
+    nodes = edges.select(F.col("group_id"), F.col("path").alias("node"))
+    hooks = []
     while True:
-        placed = edges.join(labels, "path")
-        best = placed.groupBy("group_id").agg(F.min("cluster").alias("best"))
-        stepped = (
-            placed.join(best, "group_id")
-            .groupBy("path")
-            .agg(F.min("best").alias("step"), F.max("cluster").alias("was"))
+        best = nodes.groupBy("group_id").agg(F.min("node").alias("best"), F.max("node").alias("top"))
+        live = nodes.join(best.filter("best <> top").drop("top"), "group_id")
+        hook = materialize(live.groupBy("node").agg(F.min("best").alias("target")), "hook")
+        if hook.isEmpty():
+            break
+        hook = materialize(_jump(_jump(hook)), "hook")
+        hooks.append(hook)
+        nodes = materialize(
+            live.join(hook, "node").select("group_id", F.col("target").alias("node")).distinct(), "nodes"
         )
-        stepped = materialize(stepped, "labels")
-        target = stepped.select(F.col("path").alias("step"), F.col("step").alias("jump"))
-        after = materialize(
-            stepped.join(target, "step", "left").select(
-                "path", F.least("step", "jump").alias("cluster"), "was"
-            ),
-            "labels",
-        )
-        labels = after.select("path", "cluster")
-        if after.filter(F.col("cluster") != F.col("was")).isEmpty():
-            return labels
+    labels = edges.select("path").distinct()
+    if not hooks:
+        return labels.withColumn("cluster", F.col("path"))
+    # compose the rounds from the last, smallest one, so that the files are joined once
+    final = hooks[-1]
+    for hook in reversed(hooks[:-1]):
+        onward = final.select(F.col("node").alias("target"), F.col("target").alias("end"))
+        final = hook.join(onward, "target", "left").select("node", F.coalesce("end", "target").alias("target"))
+    named = final.select(F.col("node").alias("path"), "target")
+    return labels.join(named, "path", "left").select("path", F.coalesce("target", "path").alias("cluster"))
+
+
+def _jump(hook: DataFrame) -> DataFrame:
+    """Every node's target replaced by the target's own target."""
+    onward = hook.select(F.col("node").alias("target"), F.col("target").alias("end"))
+    return hook.join(onward, "target").select("node", F.col("end").alias("target"))
