@@ -116,7 +116,10 @@ def binary_previews(
                     states.append(f"failed: {err}")
             yield batch[keep].assign(status=states, preview=previews)
 
-    schema = files.select(*keep).withColumn("status", F.lit("")).withColumn("preview", F.lit("")).schema
+    kept = [T.StructField(f.name, f.dataType) for f in files.select(*keep).schema]
+    schema = T.StructType(
+        [*kept, T.StructField("status", T.StringType()), T.StructField("preview", T.StringType())]
+    )
     custom = files.filter(F.col("extension").isin(list(extractors))).mapInPandas(run, schema)
     return out.unionByName(custom)
 
