@@ -39,19 +39,27 @@ def _inline_match(text: Column, store) -> Column:
     return F.get(F.filter(entries, lambda e: F.contains(low, e["a"])), F.lit(0))["c"]
 
 
-def _longest_word(alias: Column) -> Column:
-    ordered = F.sort_array(
-        F.transform(X.words(alias), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False
+def _anchored(aliases: DataFrame) -> DataFrame:
+    """Aliases with ``w``, the word that the fewest aliases share (longest on ties)."""
+    words = aliases.select("alias", F.explode(F.array_distinct(X.words(F.col("alias")))).alias("w"))
+    shared = words.groupBy("w").agg(F.count(F.lit(1)).alias("uses"))
+    rare = (
+        words.join(shared, "w")
+        .groupBy("alias")
+        .agg(F.min(F.struct("uses", (-F.length("w")).alias("len"), "w"))["w"].alias("w"))
     )
-    return F.get(ordered, F.lit(0))["w"]
+    return aliases.join(rare, "alias", "left")
 
 
-def _grams(word: Column, length: Column) -> Column:
-    """All substrings of ``length`` characters."""
-    last = F.length(word) - length + 1
-    return F.when(
-        last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(word, i, length))
-    ).otherwise(F.array().cast("array<string>"))
+def _grams(word: Column) -> Column:
+    """Distinct substrings of one, two and three letters, by shifted slices."""
+    one = F.split(word, "")
+    n = F.size(one)
+    cut = lambda start, less: F.slice(one, F.lit(start), F.greatest(n - less, F.lit(0)))
+    two = F.zip_with(cut(1, 1), cut(2, 1), lambda a, b: F.concat(a, b))
+    pair = F.zip_with(cut(1, 2), cut(2, 2), lambda a, b: F.concat(a, b))
+    three = F.zip_with(pair, cut(3, 2), lambda ab, c: F.concat(ab, c))
+    return F.array_distinct(F.concat(one, two, three))
 
 
 def _joined_match(
@@ -59,43 +67,37 @@ def _joined_match(
 ) -> DataFrame:
     """Exact substring search for a store of any size, by equi-joins only.
 
-    An alias inside a text has its longest word inside one word of that text.
-    Distinct words meet the aliases on a three-letter gram, then texts meet
-    the surviving (word, alias) pairs on the word. Aliases of several words
-    are confirmed on the text. Aliases without any word match only as they are
-    and are tested inline.
+    An alias inside a text has each of its words inside one word of that text.
+    Distinct words meet the aliases on the first letters of the alias word that
+    the fewest aliases share. For aliases of one word only the best per text
+    word is kept, so a text word brings one row however many aliases it holds.
+    Aliases of several words are confirmed on the text.
     """
-    store = materialize(aliases.withColumn("w", _longest_word(F.col("alias"))), "store")
-    size = F.least(F.length("w"), F.lit(3))
-    anchors = store.filter(F.col("w").isNotNull()).select(
-        "alias", "w", size.alias("g"), F.substring(F.col("w"), F.lit(1), size).alias("gram")
-    )
+    store = materialize(_anchored(aliases), "store")
+    head = F.substring("w", 1, 3)
+    anchors = store.filter(F.col("w").isNotNull()).select("alias", "canonical", "ord", "w", head.alias("gram"))
     tokens = files.select(key, F.explode(F.array_distinct(X.words(F.lower(text_col)))).alias("word"))
     vocabulary = spread(materialize(tokens.select("word").distinct(), "vocabulary"), "word")
-    sizes = F.array(F.lit(1), F.lit(2), F.lit(3))
-    word_grams = (
-        vocabulary.select("word", F.explode(sizes).alias("g"))
-        .select("word", "g", F.explode(F.array_distinct(_grams(F.col("word"), F.col("g")))).alias("gram"))
-    )
-    word_hits = (
-        word_grams.join(anchors, ["g", "gram"])
+    hits = materialize(
+        vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+        .join(anchors, "gram")
         .filter(F.contains("word", F.col("w")))
-        .select("word", "alias")
-        .distinct()
+        .select("word", "alias", "canonical", "ord"),
+        "word_hits",
     )
-    full = store.select("alias", "canonical", "ord")
-    found = tokens.join(word_hits, "word").select(key, "alias").distinct().join(full, "alias")
-    single = ~F.col("alias").rlike(r"\s")
-    texts = files.select(key, F.lower(text_col).alias("_low"))
+    is_single = ~F.col("alias").rlike(r"\s")
+    best_of_word = hits.filter(is_single).groupBy("word").agg(F.min(F.struct("ord", "canonical")).alias("hit"))
+    single = tokens.join(best_of_word, "word").select(key, "hit")
+    spaced = hits.filter(~is_single).select("word", "alias", "canonical", "ord")
     several = (
-        found.filter(~single).join(texts, key).filter(F.contains("_low", F.col("alias"))).drop("_low")
-    )
-    best = (
-        found.filter(single)
-        .unionByName(several)
-        .groupBy(key)
-        .agg(F.min(F.struct("ord", "canonical"))["canonical"].alias(out))
+        tokens.join(spaced, "word")
+        .select(key, "alias", "canonical", "ord")
+        .dropDuplicates([key, "alias"])
+        .join(files.select(key, F.lower(text_col).alias("_low")), key)
+        .filter(F.contains("_low", F.col("alias")))
+        .select(key, F.struct("ord", "canonical").alias("hit"))
     )
+    best = single.unionByName(several).groupBy(key).agg(F.min("hit")["canonical"].alias(out))
     return files.join(best, key, "left")
 
 

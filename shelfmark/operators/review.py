@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import review_bucket
 from shelfmark.operators.ranking import number_rows, top_per_key
+from shelfmark.session import materialize
 from shelfmark.settings import Settings
 
 
@@ -90,18 +91,41 @@ def parse_decisions(lines: DataFrame) -> DataFrame:
 
 
 def apply_decisions(sheet: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The most specific decision of each worksheet row: the narrowest range wins."""
-    width = F.coalesce(F.col("hi") - F.col("lo"), F.lit(2**31 - 1))
-    per_bucket = decisions.groupBy("bucket").agg(
-        F.sort_array(F.collect_list(F.struct(width.alias("width"), "lo", "hi", "action", "dest"))).alias("rules")
+    """The most specific decision of each worksheet row: the narrowest range wins.
+
+    A range of width w touches at most two aligned blocks of 2^k >= w numbers,
+    so ranges join rows on (bucket, k, block), one k per width class in use.
+    """
+    merged = decisions.groupBy("bucket", "lo", "hi").agg(F.min(F.struct("action", "dest")).alias("d"))
+    width = F.col("hi") - F.col("lo") + 1
+    level = F.ceil(F.log2(width)).cast("int")
+    block = lambda end: F.floor(end / F.pow(F.lit(2.0), level)).cast("long")
+    ranges = merged.filter("lo is not null and hi >= lo").select(
+        "bucket", "lo", "hi", width.alias("width"), "d", level.alias("level"),
+        F.explode(F.array_distinct(F.array(block(F.col("lo")), block(F.col("hi"))))).alias("block"),
+    )
+    ranges = materialize(ranges, "ranges")
+    levels = sorted(r[0] for r in ranges.select("level").distinct().collect())  # at most 31
+    keys = F.array(*[
+        F.struct(F.lit(k).alias("level"), F.floor(F.col("row_no") / F.lit(2.0**k)).cast("long").alias("block"))
+        for k in levels
+    ]) if levels else F.array().cast("array<struct<level:int,block:bigint>>")
+    narrow = (
+        sheet.select("bucket", "row_no", "path", F.explode(keys).alias("k"))
+        .select("bucket", "row_no", "path", "k.level", "k.block")
+        .join(ranges, ["bucket", "level", "block"])
+        .filter(F.col("row_no").between(F.col("lo"), F.col("hi")))
+        .groupBy("path")
+        .agg(F.min(F.struct("width", "d"))["d"].alias("narrow"))
     )
-    fits = lambda r: r["lo"].isNull() | F.col("row_no").between(r["lo"], r["hi"])
-    picked = F.get(F.filter("rules", fits), F.lit(0))
+    whole = merged.filter("lo is null").groupBy("bucket").agg(F.min("d").alias("whole"))
     return (
-        sheet.join(per_bucket, "bucket")
-        .withColumn("_d", picked)
-        .filter("_d is not null")
-        .select("bucket", "row_no", "path", F.col("_d.action").alias("action"), F.col("_d.dest").alias("dest"))
+        sheet.select("bucket", "row_no", "path")
+        .join(narrow, "path", "left")
+        .join(whole, "bucket", "left")
+        .withColumn("d", F.coalesce("narrow", "whole"))
+        .filter("d is not null")
+        .select("bucket", "row_no", "path", "d.action", "d.dest")
     )
 
 

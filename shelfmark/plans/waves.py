@@ -46,11 +46,11 @@ def run_wave(
     rule hit get a preview and reach the scorer. The second call is made for
     borderline answers alone.
     """
-    pending = filters.pending_files(accepted(files, settings), processed)
-    versions = dedup.version_duplicates(pending)
+    slim = accepted(files.drop("text"), settings)
+    pending = filters.pending_files(slim, processed)
+    versions = materialize(dedup.version_duplicates(pending), "versions")
     older = versions.filter(~F.col("is_canonical")).select("path")
-    current = pending.join(older, "path", "left_anti")
-    ruled = categorize.cascade(current, settings)
+    ruled = materialize(categorize.cascade(pending.join(older, "path", "left_anti"), settings), "ruled")
 
     columns = ["path", "category", "confidence", "entity_detected", "reasoning", "action"]
     by_rule = ruled.filter(F.col("category").isNotNull()).select(*columns)
@@ -58,7 +58,9 @@ def run_wave(
     named = match_substrings(open_rows, "filename", aliases, "path", "_entity")
     clear = categorize.signal_regex(F.col("filename")) | F.col("_entity").isNotNull()
     signal = clear & F.lit(settings.skip_content_for_clear_signals)
-    previews = text_previews(named, settings).withColumn("preview", F.when(~signal, F.col("preview")))
+    # texts are cut to previews where they are scanned; only previews can be shuffled
+    texts = text_previews(files, settings).select("path", "status", "preview")
+    previews = named.join(texts, "path").withColumn("preview", F.when(~signal, F.col("preview")))
     if earlier is not None and settings.sibling_context_enabled:
         folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
         previews = scoring.sibling_context(previews.withColumn("folder", folder), earlier, "folder", settings)

@@ -48,28 +48,31 @@ def list_binary_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+LIST_ROWS = 50_000
+
+
 def _list_folder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One level of listing for each folder in the batch, hidden names included."""
+    """One level of listing for each folder, hidden names included, in bounded chunks."""
     import datetime as dt
+    import itertools
     import os
 
-    for batch in batches:
-        rows = []
-        for folder in batch["path"]:
-            try:
-                entries = list(os.scandir(folder))
-            except OSError as err:
-                rows.append((folder, True, None, None, str(err)))
-                continue
-            for e in entries:
-                try:
-                    is_dir = e.is_dir(follow_symlinks=False)
-                    st = e.stat()
-                    when = dt.datetime.fromtimestamp(st.st_mtime, dt.timezone.utc).replace(tzinfo=None)
-                    rows.append((e.path, is_dir, st.st_size, when, None))
-                except OSError as err:
-                    rows.append((e.path, False, None, None, str(err)))
-        out = pd.DataFrame(rows, columns=["path", "is_dir", "size_bytes", "modified_time", "error"])
+    def entries(folder):
+        try:
+            with os.scandir(folder) as found:
+                for e in found:
+                    try:
+                        st = e.stat()
+                        when = dt.datetime.fromtimestamp(st.st_mtime, dt.timezone.utc).replace(tzinfo=None)
+                        yield e.path, e.is_dir(follow_symlinks=False), st.st_size, when, None
+                    except OSError as err:
+                        yield e.path, False, None, None, str(err)
+        except OSError as err:
+            yield folder, True, None, None, str(err)
+
+    rows = itertools.chain.from_iterable(entries(f) for batch in batches for f in batch["path"])
+    while chunk := list(itertools.islice(rows, LIST_ROWS)):
+        out = pd.DataFrame(chunk, columns=["path", "is_dir", "size_bytes", "modified_time", "error"])
         out["size_bytes"] = out["size_bytes"].astype("Int64")
         out["modified_time"] = pd.to_datetime(out["modified_time"])
         yield out
