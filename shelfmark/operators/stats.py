@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import size_label, top_folder_of
+from shelfmark.operators.ranking import top_per_key
 
 
 def scan_totals(files: DataFrame) -> DataFrame:
@@ -17,23 +18,30 @@ def scan_totals(files: DataFrame) -> DataFrame:
     )
 
 
-def histogram(files: DataFrame, key: Column, kind: str, k: int = 15) -> DataFrame:
-    """Top ``k`` keys by count (ties by key) and one row for the number of other keys."""
-    counts = files.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "key").limit(k)
-    ranked = top.withColumn(
-        # k rows at most reach this unpartitioned window
-        "rank", F.row_number().over(Window.orderBy(F.desc("n"), "key"))
+def histograms(files: DataFrame, keys: dict[str, Column], k: int = 15) -> DataFrame:
+    """(kind, rank, key, n): top ``k`` keys per kind (ties by key), one scan for all kinds.
+
+    A last row per kind holds the number of keys beyond ``k``.
+    """
+    pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in keys.items()])
+    counts = (
+        files.select(F.explode(pairs).alias("p")).groupBy("p.kind", "p.key").agg(F.count(F.lit(1)).alias("n"))
     )
-    other = counts.agg((F.count(F.lit(1)) - k).alias("n")).filter("n > 0").select(
-        F.lit("(other keys)").alias("key"), "n", F.lit(k + 1).alias("rank")
+    top = top_per_key(counts, ["kind"], [F.desc("n"), F.col("key")], k)
+    # the sum keeps n in this branch, so that both read the same exchange
+    other = (
+        counts.groupBy("kind")
+        .agg((F.count(F.lit(1)) - k).alias("more"), F.sum("n").alias("total"))
+        .filter("more > 0 and total > 0")
+        .select("kind", F.lit(k + 1).alias("rank"), F.lit("(other keys)").alias("key"), F.col("more").alias("n"))
     )
-    return ranked.unionByName(other).select(F.lit(kind).alias("kind"), "rank", "key", "n")
+    return top.select("kind", "rank", "key", "n").unionByName(other)
 
 
 def scan_histograms(files: DataFrame, k: int = 15) -> DataFrame:
-    folders = histogram(files, top_folder_of(F.col("relative_path")), "folder", k)
-    return histogram(files, F.col("extension"), "extension", k).unionByName(folders)
+    return histograms(
+        files, {"extension": F.col("extension"), "folder": top_folder_of(F.col("relative_path"))}, k
+    )
 
 
 def scan_report(files: DataFrame, errors: DataFrame | None = None) -> DataFrame:
