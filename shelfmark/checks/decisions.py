@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.checks import inputs as I
 from shelfmark.checks import rule_sql as R
-from shelfmark.checks.files import CASCADE_SQL, RULES
+from shelfmark.checks.files import CASCADE_SQL, MANY_TOPS, REPORT_SQL, RULES, _many_tops
 from shelfmark.checks.registry import query
 from shelfmark.operators import categorize, decide, entities, filters, neardup, scoring, state
 from shelfmark.settings import Settings
@@ -284,6 +284,49 @@ def critique_requests(spark, sf):
     return scoring.critique_requests(scoring.critique_rows(_parsed(spark, sf))).select("doc_id", "request")
 
 
+@query(
+    "proposal_request",
+    I.sql(
+        f"""select concat(string_agg(line, chr(10) order by part, section, line_no, line),
+            chr(10), 'Propose a folder tree.') as request from (
+          select 0 as part, section, line_no, line from ({{REPORT}})
+          union all select 1, 0, 0, {R.quote(CONTEXT_TEXT)}
+          union all select 2, 0, 0, '* ' || filename from (select path, filename from order_files order by path limit 100))""".replace(
+            "{REPORT}", REPORT_SQL
+        ),
+        MANY_TOPS,
+    ),
+)
+def proposal_request(spark, sf):
+    from shelfmark.plans.structure import structure_request
+
+    return structure_request(_many_tops(spark, sf), CONTEXT_TEXT)
+
+
+@query(
+    "find_entities",
+    I.sql(
+        f"""select path, coalesce((select arg_min(canonical, ord) from aliases where contains(lower(words), alias)),
+            first(canonical order by pos) filter (canonical is not null)) as entity
+        from (select p.path, p.words, p.pos, h.canonical from placed p left join hits h on h.word = p.word)
+        group by path, words""",
+        I.INV,
+        I.ALIASES,
+        """named as (select path, regexp_replace(filename, '[-_.]', ' ', 'g') as words from inv)""",
+        """placed as (select path, words, pos, w[pos] as word from (select *, unnest(range(1, len(w) + 1)) as pos from (
+            select path, words, list_filter(string_split_regex(lower(words), '\\s+'), lambda w: length(w) >= 3) as w from named)))""",
+        f"""scored as (select word, canonical, ord, 200.0 * {LCS} / (length(a) + length(b)) as ratio
+          from (select word, canonical, ord, word as a, alias as b from (select distinct word from placed) v
+            join aliases on least(length(word), length(alias)) * 3 >= greatest(length(word), length(alias)) * 2))""",
+        """hits as (select word, first(canonical order by ratio desc, ord) as canonical
+          from scored where ratio >= 80 group by word)""",
+    ),
+)
+def find_entities(spark, sf):
+    files = I.inv(spark, sf).select("path", F.regexp_replace("filename", "[-_.]", " ").alias("words"))
+    return entities.find_entities(files, "words", I.aliases(spark), "path").select("path", "entity")
+
+
 PLANTED = """case doc_id % 11 when 0 then text || ' Security Questionnaire' when 1 then 'INVOICE TO US ' || text
     when 2 then text || ' the account was terminated' when 3 then text || ' SOW for nobody'
     when 4 then text || ' budget' when 5 then text || ' expense report' when 6 then text || ' sales template'

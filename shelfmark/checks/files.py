@@ -228,7 +228,7 @@ def _many_tops(spark, sf):
         F.lit("top "), (F.col("o_orderkey") % 23).cast("string"), F.lit("/"),
         P.parent_name_of(F.col("path")), F.lit("/"), F.col("filename"),
     )
-    return files.withColumn("relative_path", rel)
+    return files.withColumn("relative_path", rel).withColumn("path", F.concat(F.lit("/orders/"), "relative_path"))
 
 
 @query(
@@ -258,18 +258,15 @@ def scan_totals(spark, sf):
     return stats.scan_totals(I.order_files(spark, sf))
 
 
-@query(
-    "report_lines",
-    I.sql(
-        f"""select 0 as section, 0 as line_no, 'Files: ' || count(*) as line from order_files
-        union all select 0, 1, 'Size: ' || {R.size_label('sum(size_bytes)')} from order_files
-        union all select 0, 2, 'Dates: ' || strftime(min(modified_time), '%Y-%m-%d') || ' to '
-          || strftime(max(modified_time), '%Y-%m-%d') from order_files
-        union all select section, rank, key || ': ' || n from ({_hist_sql('extension', 'extension', 1)})
-        union all select section, rank, key || ': ' || n from ({_hist_sql('folder', "string_split(relative_path, '/')[1]", 2)})""",
-        MANY_TOPS,
-    ),
-)
+REPORT_SQL = f"""select 0 as section, 0 as line_no, 'Files: ' || count(*) as line from order_files
+  union all select 0, 1, 'Size: ' || {R.size_label('sum(size_bytes)')} from order_files
+  union all select 0, 2, 'Dates: ' || strftime(min(modified_time), '%Y-%m-%d') || ' to '
+    || strftime(max(modified_time), '%Y-%m-%d') from order_files
+  union all select section, rank, key || ': ' || n from ({_hist_sql('extension', 'extension', 1)})
+  union all select section, rank, key || ': ' || n from ({_hist_sql('folder', "string_split(relative_path, '/')[1]", 2)})"""
+
+
+@query("report_lines", I.sql(REPORT_SQL, MANY_TOPS))
 def report_lines(spark, sf):
     return stats.scan_report(_many_tops(spark, sf)).withColumn("line_no", F.col("line_no").cast("long"))
 

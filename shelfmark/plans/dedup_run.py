@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from shelfmark.operators import dedup, filters, neardup
+from shelfmark.operators.scoring import Scorer
 from shelfmark.session import materialize
 from shelfmark.settings import Settings
 
@@ -17,10 +18,16 @@ class DedupRun:
     plan: DataFrame
 
 
-def run_dedup(files: DataFrame, settings: Settings = Settings(), at_scale: bool = False) -> DedupRun:
+def run_dedup(
+    files: DataFrame,
+    settings: Settings = Settings(),
+    at_scale: bool = False,
+    judge: Scorer | None = None,
+) -> DedupRun:
     """Hash and version tiers over all files, near duplicates over the rest.
 
-    ``files``: inventory with ``text``. ``at_scale`` takes the sketch search.
+    ``files``: inventory with ``text``. ``at_scale`` takes the sketch search;
+    ``judge`` has the last word on its pairs.
     """
     exact = dedup.hash_duplicates(files)
     versions = dedup.version_duplicates(files)
@@ -28,5 +35,7 @@ def run_dedup(files: DataFrame, settings: Settings = Settings(), at_scale: bool
     rest = filters.ungrouped_files(files, cheap.select("path").distinct())
     search = neardup.near_duplicates_lsh if at_scale else neardup.near_duplicates
     losers = search(rest, ("parent_folder", "extension"), settings)
+    if judge is not None:
+        losers = neardup.judged(losers, rest, judge, settings)
     members = materialize(cheap.unionByName(dedup.near_members(losers, files)), "members")
     return DedupRun(members, dedup.delete_plan(members))

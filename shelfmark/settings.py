@@ -55,3 +55,4 @@ class Settings:
     # near duplicates
     shingle_words: int = 3
     near_threshold: float = 0.8
+    judge_chars: int = 2000
