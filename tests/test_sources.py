@@ -181,3 +181,25 @@ def test_empty_allow_list_accepts_all_but_denied(spark):
     df = spark.createDataFrame([(".txt",), (".MD".lower(),), ("",)], "extension string")
     open_all = Settings(process_extensions=())
     assert {r[0] for r in filters.filter_extensions(df, open_all).collect()} == {".txt", ""}
+
+
+def test_release_deletes_only_what_was_written(spark, monkeypatch):
+    from pathlib import Path
+
+    from shelfmark import session
+
+    monkeypatch.setattr(session, "_written", [])
+    kept = Path(session.scratch_root(spark)) / "foreign"
+    kept.mkdir(exist_ok=True)
+    table = session.materialize(spark.range(10), "probe")
+    folder = Path(table.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists() and table.count() == 10
+    assert session.release(spark) == 1
+    assert not folder.exists() and kept.exists()
+    assert session.release(spark) == 0
+
+
+def test_scratch_follows_the_session_setting(spark):
+    from shelfmark import session
+
+    assert session.scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
