@@ -28,6 +28,8 @@ def move_plan(moves: DataFrame, archive: DataFrame, root: str) -> DataFrame:
     named = names.join(present, ["category", "filename"], "left").withColumn(
         "taken", F.coalesce("taken", F.lit(False))
     )
+    # one row per destination name; four steps below read it
+    named = materialize(named, "names")
     tagged = moves.join(named, ["category", "filename"])
     literal = ~F.col("taken") & (F.col("path") == F.col("first"))
     plain = tagged.filter(literal).select("path", "category", "filename", F.col("filename").alias("new_name"))
