@@ -409,7 +409,7 @@ class Bpe:
 
     n_pool = 0
     #: Distinct chunks kept; beyond it the cache starts anew, which changes no result.
-    cache_chunks = 1_000_000
+    cache_chunks = 250_000
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each."""

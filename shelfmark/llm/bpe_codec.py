@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import bpe_of, documents, text_groups
+from shelfmark.llm.common import bounded_batches, bpe_of, documents, text_groups
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -59,6 +59,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    bounded_batches(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     encoded = encode(documents(spark, sf_dir).select("doc_id", "text"), path)
     both = decode(encoded, path)

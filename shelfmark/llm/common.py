@@ -77,3 +77,10 @@ def per_worker(key: tuple, build):
 
 def bpe_of(path: str) -> Bpe:
     return per_worker(("bpe", path), lambda: Bpe(path))
+
+
+def bounded_batches(spark: SparkSession, size: str = "16MB") -> None:
+    """Bound the bytes of a batch that a Python task gets, unless the session has its own bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, size)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bpe_of, crc32_rows, documents, range_cuts, text_groups
+from shelfmark.llm.common import bounded_batches, bpe_of, crc32_rows, documents, range_cuts, text_groups
 from shelfmark.session import materialize, scratch_path
 
 BLOCK = 256
@@ -283,6 +283,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    bounded_batches(spark)
     folder = scratch_path(spark, "huffman")
     write_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), folder)
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

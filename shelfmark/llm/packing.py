@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import bpe_of, crc32_rows, documents, text_groups
+from shelfmark.llm.common import bounded_batches, bpe_of, crc32_rows, documents, text_groups
 from shelfmark.session import materialize
 
 CAPACITY = 1024
@@ -151,5 +151,6 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    bounded_batches(spark)
     packed = pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
