@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from shelfmark.llm.bpe_codec import op5_bpe_codec
 from shelfmark.llm.huffman import op3_huffman_ids
+from shelfmark.llm.lz_fingerprint import op1_lz_fingerprint
 from shelfmark.llm.packing import op9_best_fit
+from shelfmark.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_huffman_ids, op5_bpe_codec, op9_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op2_toxicity, op3_huffman_ids, op5_bpe_codec, op9_best_fit)}
 ORACLES: dict[str, str] = {}
