@@ -6,8 +6,9 @@ from shelfmark.llm.bpe_codec import op5_bpe_codec
 from shelfmark.llm.huffman import op3_huffman_ids
 from shelfmark.llm.lz_fingerprint import op1_lz_fingerprint
 from shelfmark.llm.packing import op9_best_fit
+from shelfmark.llm.simhash import op7_simhash
 from shelfmark.llm.toxicity import op2_toxicity
 from shelfmark.llm.warc import OP4_SQL, op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op2_toxicity, op3_huffman_ids, op4_warc, op5_bpe_codec, op9_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op2_toxicity, op3_huffman_ids, op4_warc, op5_bpe_codec, op7_simhash, op9_best_fit)}
 ORACLES = {"op4_warc": OP4_SQL}
