@@ -84,3 +84,18 @@ def bounded_batches(spark: SparkSession, size: str = "16MB") -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.sparkContext.getConf().get(key) is None:
         spark.conf.set(key, size)
+
+
+def set_apart(docs: DataFrame, *needed: str):
+    """``docs`` with every other column under a name that clashes with nothing, and the way back.
+
+    The way back selects the columns of ``docs`` in their order and under
+    their names.
+    """
+    hidden = {c: f"_extra_{i}" for i, c in enumerate(docs.columns) if c not in needed}
+    inside = docs.select(*(F.col(f"`{c}`").alias(hidden.get(c, c)) for c in docs.columns))
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(hidden.get(c, c)).alias(c) for c in docs.columns))
+
+    return inside, back

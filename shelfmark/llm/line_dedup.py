@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import bounded_batches, documents
+from shelfmark.llm.common import bounded_batches, documents, set_apart
 from shelfmark.session import materialize
 
 MIN_WORDS = 8
@@ -207,6 +207,12 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with new texts."""
+    inside, back = set_apart(docs, "doc_id", "text")
+    return back(with_counts(inside))
+
+
+def with_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with new texts, and ``n_lines`` and ``n_dropped`` of each."""
     known = docs.filter("doc_id is not null and text is not null")
     lines = materialize(line_table(known), "lines")
@@ -235,7 +241,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return with_counts(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 OP10_SQL = """

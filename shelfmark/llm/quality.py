@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import bounded_batches, documents
+from shelfmark.llm.common import bounded_batches, documents, set_apart
 from shelfmark.session import materialize
 
 MIN_WORDS = 50
@@ -136,8 +136,9 @@ def verdicts(measured: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    measured = materialize(measure(docs, *docs.columns), "measured")
-    return verdicts(measured).filter("kept").select(*docs.columns)
+    inside, back = set_apart(docs, "text", "lang", "source")
+    measured = materialize(measure(inside, *inside.columns), "measured")
+    return back(verdicts(measured).filter("kept"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

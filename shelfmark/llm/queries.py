@@ -7,10 +7,11 @@ from shelfmark.llm.huffman import op3_huffman_ids
 from shelfmark.llm.line_dedup import OP10_SQL, op10_line_dedup
 from shelfmark.llm.lz_fingerprint import op1_lz_fingerprint
 from shelfmark.llm.packing import op9_best_fit
+from shelfmark.llm.pii import op6_pii
 from shelfmark.llm.quality import op8_quality
 from shelfmark.llm.simhash import op7_simhash
 from shelfmark.llm.toxicity import op2_toxicity
 from shelfmark.llm.warc import OP4_SQL, op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op2_toxicity, op3_huffman_ids, op4_warc, op5_bpe_codec, op7_simhash, op8_quality, op9_best_fit, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lz_fingerprint, op2_toxicity, op3_huffman_ids, op4_warc, op5_bpe_codec, op6_pii, op7_simhash, op8_quality, op9_best_fit, op10_line_dedup)}
 ORACLES = {"op4_warc": OP4_SQL, "op10_line_dedup": OP10_SQL}

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bounded_batches, documents, text_groups
+from shelfmark.llm.common import bounded_batches, documents, set_apart, text_groups
 from shelfmark.operators.components import cluster_labels
 from shelfmark.session import materialize
 
@@ -112,10 +112,11 @@ def near_groups(docs: DataFrame, *keep: str, order: str = "doc_id") -> DataFrame
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest id, nulls last, the first of equal ones."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    inside, back = set_apart(docs, "doc_id", "text")
+    rows = materialize(inside.withColumn("_row", F.monotonically_increasing_id()), "rows")
     ranked = rows.withColumn("_order", F.struct(F.col("doc_id").isNull().alias("null_last"), "doc_id", "_row"))
     kept = near_groups(ranked, "_row", order="_order").filter("_order = component_id").select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return back(rows.join(kept, "_row", "left_semi"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
