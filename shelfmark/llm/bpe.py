@@ -316,13 +316,14 @@ class Bpe:
                 # a line feed stands between chunks that are looked at together
                 pieces = regex.compile(rf"{short}|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+|\n")
                 ascii_pieces = re.compile(rf"{short}|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+|\n")
-                chunks = re.compile(f"[^{_WS}]+")
+                chunks, alone = re.compile(f"[^{_WS}]+"), pieces
             else:
-                tail = f"[{_WS}]+(?![^{_WS}])|[{_WS}]+|{_SEP}"
-                pieces = regex.compile(rf"{short}| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}{_SEP}\p{{L}}\p{{N}}]+|{tail}")
-                ascii_pieces = re.compile(rf"{short}| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9{_SEP}]+|{tail}")
+                tail = f"[{_WS}]+(?![^{_WS}])|[{_WS}]+"
+                pieces = regex.compile(rf"{short}| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}{_SEP}\p{{L}}\p{{N}}]+|{tail}|{_SEP}")
+                ascii_pieces = re.compile(rf"{short}| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9{_SEP}]+|{tail}|{_SEP}")
                 chunks = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-            self._pats = special, pieces, ascii_pieces, chunks
+                alone = regex.compile(pieces.pattern.removesuffix("|" + _SEP).replace(_SEP, ""))
+            self._pats = special, pieces, ascii_pieces, chunks, alone
         return self._pats
 
     def chunks(self, text: str) -> list[str]:
@@ -361,7 +362,7 @@ class Bpe:
                     ids.append(np.array([self.special[part]], np.int32))
                 elif part:
                     part = self._normal(part)
-                    words = [w.encode() for w in self._patterns()[1].findall(part) if not (self.suffix and w == "\n")]
+                    words = [w.encode() for w in self._patterns()[4].findall(part) if not (self.suffix and w == "\n")]
                     ids.append(self.encode_words(*flat_words(words))[0])
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             self._add([chunk], flat, np.array([len(flat)]))
@@ -409,12 +410,16 @@ class Bpe:
 
     n_pool = 0
     #: Distinct chunks kept; beyond it the cache starts anew, which changes no result.
-    cache_chunks = 250_000
+    cache_chunks = 100_000
+
+    def forget(self) -> None:
+        """Drop the cache; the tables stay."""
+        self.cache, self.pool, self.spans, self.n_pool = {}, [], [], 0
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each."""
         if not self.cache or len(self.cache) > self.cache_chunks:
-            self.cache, self.pool, self.spans, self.n_pool = {}, [], [], 0
+            self.forget()
         parts = [self.chunks(t) for t in texts]
         n_parts = np.fromiter(map(len, parts), np.int64, len(parts))
         every = list(chain.from_iterable(parts))

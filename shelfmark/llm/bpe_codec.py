@@ -35,6 +35,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
                 part = batch.iloc[first : first + len(texts)][kept].copy()
                 part[out] = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
                 yield part
+        bpe.forget()
 
     return df.select(*kept, text).mapInPandas(run, schema)
 

@@ -141,6 +141,7 @@ def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 cut = (step * (ends + np.arange(1, len(ends) + 1))).tolist()
                 ids = [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)]
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[first : first + len(texts)], "width": step, "ids": ids})
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, width int, ids binary")
 

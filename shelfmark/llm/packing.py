@@ -60,6 +60,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                         "ids_crc32": crc32_rows(flat, np.cumsum(length)),
                     }
                 )
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
