@@ -272,7 +272,7 @@ def scoring_requests(spark, sf):
 @query(
     "critique_requests",
     I.sql(
-        """select doc_id, 'answer: ' || category || chr(10) || 'confidence: ' || confidence || chr(10) || 'because: '
+        """select doc_id, 'answer: ' || category || chr(10) || 'confidence: ' || cast(confidence as int) || chr(10) || 'because: '
           || reasoning || chr(10) || 'What speaks against it, and what else could it be? Answer with JSON: critique, '
           || 'alternative_interpretations, final_category, final_confidence, changed.' as request
         from parsed where confidence between 6 and 8""",
@@ -350,7 +350,7 @@ def _phrase_sql(text: str) -> str:
 )
 def score_files(spark, sf):
     rows = I.documents(spark, sf).select("doc_id", F.expr(PLANTED).alias("preview"))
-    return scoring.score_and_parse(rows, key="doc_id").select("doc_id", "category", "confidence", "action", "reasoning")
+    return scoring.score_and_parse(rows, key="doc_id").select("doc_id", "category", F.col("confidence").cast("int").alias("confidence"), "action", "reasoning")
 
 
 TREE = (

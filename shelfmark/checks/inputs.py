@@ -142,7 +142,7 @@ REPLIES = f"replies as (select doc_id, {REPLY} as reply from documents)"
 # the readable part of a reply: json_valid keeps broken text apart
 PARSED = """parsed as (
   select doc_id, case when json_valid(j) then j->>'$.category' end as category,
-    case when json_valid(j) then cast(j->>'$.confidence' as int) end as confidence,
+    case when json_valid(j) then cast(j->>'$.confidence' as double) end as confidence,
     case when json_valid(j) then j->>'$.entity_detected' end as entity_detected,
     case when json_valid(j) then j->>'$.reasoning' end as reasoning,
     case when json_valid(j) then j->>'$.action' end as action

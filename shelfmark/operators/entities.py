@@ -9,34 +9,10 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as X
 from shelfmark.session import materialize, spread
 
-# A store up to this many aliases is compiled into the plan as a literal.
-INLINE_ALIASES = 200
-INLINE_FUZZY = 64
 
-
-def match_substrings(
-    files: DataFrame, text_col: str, aliases: DataFrame, key: str, out: str = "entity"
-) -> DataFrame:
-    """First alias in store order that is a substring of the lower-cased text.
-
-    ``aliases``: (alias, canonical, ord), aliases lower-cased and unique. Adds
-    ``out`` (NULL when nothing matches). A small store becomes an expression;
-    a larger one is searched by an equi-join on the words of the texts.
-    """
-    small = aliases.orderBy("ord").limit(INLINE_ALIASES + 1).collect()  # bounded by the limit
-    if len(small) <= INLINE_ALIASES:
-        return files.withColumn(out, _inline_match(F.col(text_col), small))
-    return _joined_match(files, text_col, aliases, key, out)
-
-
-def _inline_match(text: Column, store) -> Column:
-    if not store:
-        return F.lit(None).cast("string")
-    low = F.lower(text)
-    entries = F.array(
-        *[F.struct(F.lit(r["alias"]).alias("a"), F.lit(r["canonical"]).alias("c")) for r in store]
-    )
-    return F.get(F.filter(entries, lambda e: F.contains(low, e["a"])), F.lit(0))["c"]
+def _usable(aliases: DataFrame) -> DataFrame:
+    """Aliases of blanks name nothing and are left out."""
+    return aliases.filter(F.trim("alias") != "")
 
 
 def _anchored(aliases: DataFrame) -> DataFrame:
@@ -51,37 +27,37 @@ def _anchored(aliases: DataFrame) -> DataFrame:
     return aliases.join(rare, "alias", "left")
 
 
-def _grams(word: Column) -> Column:
-    """Distinct substrings of one, two and three letters, by shifted slices."""
-    one = F.split(word, "")
-    n = F.size(one)
-    cut = lambda start, less: F.slice(one, F.lit(start), F.greatest(n - less, F.lit(0)))
-    two = F.zip_with(cut(1, 1), cut(2, 1), lambda a, b: F.concat(a, b))
-    pair = F.zip_with(cut(1, 2), cut(2, 2), lambda a, b: F.concat(a, b))
-    three = F.zip_with(pair, cut(3, 2), lambda ab, c: F.concat(ab, c))
-    return F.array_distinct(F.concat(one, two, three))
-
-
-def _joined_match(
-    files: DataFrame, text_col: str, aliases: DataFrame, key: str, out: str
+def match_substrings(
+    files: DataFrame, text_col: str, aliases: DataFrame, key: str, out: str = "entity"
 ) -> DataFrame:
-    """Exact substring search for a store of any size, by equi-joins only.
+    """First alias in store order that is a substring of the lower-cased text.
+
+    ``aliases``: (alias, canonical, ord), aliases lower-cased and unique; those
+    of blanks alone are ignored. Adds ``out`` (NULL when nothing matches).
 
     An alias inside a text has each of its words inside one word of that text.
-    Distinct words meet the aliases on the first letters of the alias word that
-    the fewest aliases share. For aliases of one word only the best per text
-    word is kept, so a text word brings one row however many aliases it holds.
-    Aliases of several words are confirmed on the text.
+    Distinct words of the texts are cut into their substrings of the lengths
+    in use, and these meet, as whole words, the alias word that the fewest
+    aliases share: a match needs no further test. For aliases of one word only
+    the best per text word is kept, so a text word brings one row however many
+    aliases it holds. Aliases of several words are confirmed on the text.
     """
-    store = materialize(_anchored(aliases), "store")
-    head = F.substring("w", 1, 3)
-    anchors = store.filter(F.col("w").isNotNull()).select("alias", "canonical", "ord", "w", head.alias("gram"))
+    store = materialize(_anchored(_usable(aliases)), "store")
+    anchors = store.filter(F.col("w").isNotNull()).select("alias", "canonical", "ord", "w")
+    # their number is bounded by the longest alias
+    sizes = sorted(r[0] for r in anchors.select(F.length("w")).distinct().collect())
     tokens = files.select(key, F.explode(F.array_distinct(X.words(F.lower(text_col)))).alias("word"))
     vocabulary = spread(materialize(tokens.select("word").distinct(), "vocabulary"), "word")
+    known = F.array(*[F.lit(n) for n in sizes]).cast("array<int>")
+    cuts = F.flatten(
+        F.transform(
+            F.filter(known, lambda n: n <= F.length("word")),
+            lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.col("word").substr(i, n)),
+        )
+    )
     hits = materialize(
-        vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
-        .join(anchors, "gram")
-        .filter(F.contains("word", F.col("w")))
+        vocabulary.select("word", F.explode(F.array_distinct(cuts)).alias("w"))
+        .join(anchors, "w")
         .select("word", "alias", "canonical", "ord"),
         "word_hits",
     )
@@ -118,25 +94,6 @@ def _band(word_len: Column, alias_len: Column) -> Column:
     return (word_len * 3 >= alias_len * 2) & (alias_len * 3 >= word_len * 2)
 
 
-def _inline_pairs(vocabulary: DataFrame, store, threshold: int) -> DataFrame:
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(r["alias"]).alias("alias"),
-                F.lit(len(r["alias"])).alias("la"),
-                F.lit(r["canonical"]).alias("canonical"),
-                F.lit(i).alias("ord"),
-            )
-            for i, r in enumerate(store)
-        ]
-    )
-    word = F.col("word")
-    likely = lambda e: _band(F.length(word), e["la"]) & _letters_suffice(word, e["alias"], threshold)
-    return vocabulary.select("word", F.explode(F.filter(entries, likely)).alias("e")).select(
-        "word", "e.alias", "e.canonical", "e.ord"
-    )
-
-
 def _piece_pairs(vocabulary: DataFrame, aliases: DataFrame, threshold: int) -> DataFrame:
     """Likely (word, alias) pairs for a store of any size, by an equi-join.
 
@@ -189,21 +146,13 @@ def _piece_pairs(vocabulary: DataFrame, aliases: DataFrame, threshold: int) -> D
     )
 
 
-def fuzzy_word_matches(
-    vocabulary: DataFrame, aliases: DataFrame, threshold: int = 80, inline: int = INLINE_FUZZY
-) -> DataFrame:
-    """(word, canonical, ratio): best alias per word with indel ratio >= ``threshold``."""
+def fuzzy_word_matches(vocabulary: DataFrame, aliases: DataFrame, threshold: int = 80) -> DataFrame:
+    """(word, canonical, ratio): best alias per word with indel ratio >= ``threshold``; one way for stores of any size."""
     if threshold < 80:
         raise ValueError("candidate pairs are complete for thresholds of 80 and above")
-    small = aliases.orderBy("ord").limit(inline + 1).collect()  # bounded by the limit
-    if not small:
-        return vocabulary.select("word", F.lit("").alias("canonical"), F.lit(0.0).alias("ratio")).limit(0)
-    if len(small) <= inline:
-        pairs = _inline_pairs(vocabulary, small, threshold)
-    else:
-        pairs = _piece_pairs(vocabulary, aliases, threshold)
     return (
-        pairs.withColumn("ratio", X.indel_ratio(F.col("word"), F.col("alias")))
+        _piece_pairs(vocabulary, _usable(aliases), threshold)
+        .withColumn("ratio", X.indel_ratio(F.col("word"), F.col("alias")))
         .filter(F.col("ratio") >= threshold)
         .groupBy("word")
         .agg(F.min(F.struct((-F.col("ratio")).alias("worst"), "ord", "canonical", "ratio")).alias("hit"))

@@ -38,55 +38,62 @@ def review_options(unknowns: DataFrame) -> DataFrame:
 
 # The written forms of a bulk decision.
 _LINE = r"^\s*([^:#]+?)\s*(#[0-9,\s-]+)?\s*:\s*(.+?)\s*$"
-_CLAUSE = r"^(DELETE|SKIP|MOVE)?\s*(ALL|rest|[0-9][0-9\s-]*)?$"
+_VERB = r"(?i)^(DELETE|SKIP|MOVE)\b"
+_RANGE = r"^([0-9]+)(?:\s*-\s*([0-9]+))?$"
 
 
 def parse_decisions(lines: DataFrame) -> DataFrame:
-    """(bucket, lo, hi, action, dest) from written decisions.
-
-    ``Archive: DELETE ALL``, ``Desktop: DELETE 5-8, SKIP rest`` and
-    ``Drive Root #1,2,9: Customers/North/`` give one row per clause or number;
-    a NULL range means the whole bucket.
+    """(bucket, lo, hi, action, dest, error) from written decisions.
+
+    ``Papers: delete all``, ``Inbox: DELETE 5-8, 11, SKIP rest`` and
+    ``Inbox #3,7: Clients/West, North/`` give one row per clause or number; a
+    NULL range means the whole bucket. Verbs are read in any case, and a bare
+    number takes the verb before it. A body without verb, or after ``MOVE:``,
+    is a destination as it stands, commas included. Whatever can't be read
+    gives a row with ``error`` (the line) and no action, never a move.
     """
-    bucket = F.regexp_extract("line", _LINE, 1)
+    bucket, body = F.regexp_extract("line", _LINE, 1), F.regexp_extract("line", _LINE, 3)
     numbers = F.regexp_replace(F.regexp_extract("line", _LINE, 2), r"[#\s]", "")
-    body = F.regexp_extract("line", _LINE, 3)
-    rows = lines.select(bucket.alias("bucket"), numbers.alias("numbers"), body.alias("body")).filter("bucket <> ''")
-
-    target = F.regexp_replace(F.regexp_replace("body", r"^MOVE:\s*", ""), "/+$", "")
-    listed = rows.filter("numbers <> ''").select(
-        "bucket", F.explode(F.split("numbers", ",")).alias("r"), F.col("body"), target.alias("target")
-    )
-    is_verb = F.col("body").isin("DELETE", "SKIP")
-    listed = listed.select(
-        "bucket",
-        "r",
-        F.when(is_verb, F.col("body")).otherwise("MOVE").alias("action"),
-        F.when(~is_verb, F.col("target")).alias("dest"),
+    target = F.regexp_replace(F.regexp_replace(body, r"(?i)^MOVE\s*:\s*", ""), "/+$", "")
+    rows = lines.select(
+        "line", bucket.alias("bucket"), numbers.alias("numbers"), target.alias("target"), F.upper(F.regexp_extract(body, _VERB, 1)).alias("verb"),
+        body.rlike(r"(?i)^MOVE\s*:").alias("moves"), F.split(body, r"\s*,\s*").alias("clauses"), body.alias("body"),
+    )
+    to = F.col("moves") | (F.col("verb") == "")
+    # a destination, for the numbers listed or the whole bucket
+    places = F.when(F.col("numbers") != "", F.split("numbers", ",")).otherwise(F.array(F.lit("")))
+    moved = rows.filter(to).select("line", "bucket", F.explode(places).alias("r"), F.lit("MOVE").alias("action"), "target")
+    # verbs: numbers stand before the colon, or behind each verb
+    before = F.col("numbers") != ""
+    bare = F.upper("body").isin("DELETE", "SKIP")
+    verbs = F.transform("clauses", lambda c: F.upper(F.regexp_extract(c, r"(?i)^(DELETE|SKIP)\b", 1)))
+    clause = F.transform(
+        "clauses",
+        lambda c, i: F.struct(
+            F.get(F.filter(F.reverse(F.slice(F.col("verbs"), F.lit(1), i + 1)), lambda v: v != ""), F.lit(0)).alias("action"),
+            F.regexp_replace(c, r"(?i)^(DELETE|SKIP)\b\s*", "").alias("r"),
+        ),
     )
-    clauses = (
-        rows.filter("numbers = ''")
-        .select("bucket", F.explode(F.split("body", r"\s*,\s*")).alias("c"))
-        .select(
-            "bucket",
-            F.nullif(F.regexp_extract("c", _CLAUSE, 1), F.lit("")).alias("action"),
-            F.regexp_replace(F.regexp_extract("c", _CLAUSE, 2), r"\s", "").alias("r"),
-            F.regexp_replace(F.regexp_replace("c", r"^MOVE:\s*", ""), "/+$", "").alias("target"),
-        )
-        .select(
-            "bucket",
-            F.when(F.col("r").isin("ALL", "rest", ""), F.lit(None)).otherwise(F.col("r")).alias("r"),
-            F.coalesce("action", F.lit("MOVE")).alias("action"),
-            F.when(F.col("action").isNull(), F.col("target")).alias("dest"),
-        )
+    listed = F.transform(F.split("numbers", ","), lambda n: F.struct(F.when(bare, F.col("verb")).alias("action"), n.alias("r")))
+    spoken = (
+        rows.filter(~to)
+        .withColumn("verbs", verbs)
+        .select("line", "bucket", F.explode(F.when(before, listed).otherwise(clause)).alias("c"))
+        .select("line", "bucket", "c.r", "c.action", F.lit(None).cast("string").alias("target"))
     )
-    ends = F.split("r", "-")
-    return listed.unionByName(clauses).select(
+    every = F.lower("r").isin("", "all", "rest")
+    lo, hi = F.regexp_extract("r", _RANGE, 1).try_cast("int"), F.regexp_extract("r", _RANGE, 2).try_cast("int")
+    both = moved.unionByName(spoken).withColumn("lo", lo).withColumn("hi", F.coalesce(hi, lo)).withColumn("every", every)
+    named = F.when(F.col("action") == "MOVE", F.length("target") > 0).otherwise(F.col("action").isin("DELETE", "SKIP"))
+    good = (F.col("bucket") != "") & F.coalesce(named, F.lit(False)) & (F.col("every") | (F.col("lo") <= F.col("hi")))
+    good = F.coalesce(good, F.lit(False))
+    return both.select(
         "bucket",
-        F.get(ends, F.lit(0)).try_cast("int").alias("lo"),
-        F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0))).try_cast("int").alias("hi"),
-        "action",
-        "dest",
+        F.when(good & ~F.col("every"), F.col("lo")).alias("lo"),
+        F.when(good & ~F.col("every"), F.col("hi")).alias("hi"),
+        F.when(good, F.col("action")).alias("action"),
+        F.when(good, F.col("target")).alias("dest"),
+        F.when(~good, F.col("line")).alias("error"),
     )
 
 
@@ -96,7 +103,7 @@ def apply_decisions(sheet: DataFrame, decisions: DataFrame) -> DataFrame:
     A range of width w touches at most two aligned blocks of 2^k >= w numbers,
     so ranges join rows on (bucket, k, block), one k per width class in use.
     """
-    merged = decisions.groupBy("bucket", "lo", "hi").agg(F.min(F.struct("action", "dest")).alias("d"))
+    merged = decisions.filter("action is not null").groupBy("bucket", "lo", "hi").agg(F.min(F.struct("action", "dest")).alias("d"))
     width = F.col("hi") - F.col("lo") + 1
     level = F.ceil(F.log2(width)).cast("int")
     block = lambda end: F.floor(end / F.pow(F.lit(2.0), level)).cast("long")

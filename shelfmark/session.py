@@ -28,10 +28,13 @@ def build_session(app: str = "shelfmark", master: str | None = None, **conf: str
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, a laptop) gets a temporary one.
+    A session on this machine alone that names none (tests, a laptop) gets a
+    temporary one; on a cluster executors would not share it, so there it must be named.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="shelfmark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -62,6 +62,8 @@ def _list_folder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with os.scandir(folder) as found:
                 for e in found:
                     try:
+                        if e.is_symlink() and e.is_dir():
+                            continue  # a link to a folder is neither a file nor entered
                         st = e.stat()
                         when = dt.datetime.fromtimestamp(st.st_mtime, dt.timezone.utc).replace(tzinfo=None)
                         yield e.path, e.is_dir(follow_symlinks=False), st.st_size, when, None
@@ -79,7 +81,11 @@ def _list_folder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def list_all_files(spark: SparkSession, root: str, skip_folders: Sequence[str] = ()) -> DataFrame:
-    """Listing of a mounted file system, hidden files included.
+    return list_tree(spark, root, skip_folders)[0]
+
+
+def list_tree(spark: SparkSession, root: str, skip_folders: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Files of a mounted file system, hidden ones included, and (path, message) of what could not be read.
 
     Spark's own file index drops names that begin with ``_`` or ``.``. The tree
     is listed level by level: each level's folders are spread over the tasks.
@@ -90,20 +96,22 @@ def list_all_files(spark: SparkSession, root: str, skip_folders: Sequence[str] =
     schema = "path string, is_dir boolean, size_bytes long, modified_time timestamp_ntz, error string"
     skip = [s.lower() for s in skip_folders]
     level = spark.createDataFrame([(root.rstrip("/"),)], "path string")
-    files = None
+    files = errors = None
     while not level.isEmpty():
         found = materialize(level.mapInPandas(_list_folder, schema), "listing")
         here = found.filter(~F.col("is_dir") & F.col("error").isNull()).select(
             "path", "size_bytes", "modified_time"
         )
         files = here if files is None else files.unionByName(here)
+        failed = found.filter(F.col("error").isNotNull()).select("path", F.col("error").alias("message"))
+        errors = failed if errors is None else errors.unionByName(failed)
         folders = found.filter(F.col("is_dir") & F.col("error").isNull())
         if skip:
             folders = folders.filter(~F.lower(P.filename_of(F.col("path"))).isin(skip))
         level = folders.select("path").repartition(
             spark.sparkContext.defaultParallelism, F.xxhash64("path")
         )
-    return files
+    return files, errors
 
 
 def multi_root_inventory(

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 def write_report(lines: DataFrame, path: str, by: str | None = None) -> None:
     """One folder of text per report: lines sorted, sections in order.
 
-    ``lines`` has (section, line_no, line) and, with ``by``, a report key such
-    as the wave. Range partitioning keeps a large report in many files whose
+    ``lines`` has (section, line_no, line), for reports in groups also
+    (group_key, path), and, with ``by``, a report key such as the wave. Range partitioning keeps a large report in many files whose
     names sort in line order.
     """
     keys = [by] if by else []
-    ordered = lines.repartitionByRange(*keys, "section", "line_no").sortWithinPartitions(
-        *keys, "section", "line_no"
-    )
+    # groups stay together; equal line numbers of a group are told apart by path
+    order = [*keys, *(c for c in ("section", "group_key", "line_no", "path") if c in lines.columns), "line"]
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     writer = ordered.select(*keys, F.col("line").alias("value")).write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).text(path)
 

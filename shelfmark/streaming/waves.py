@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.schemas import DECISIONS
+
 Decide = Callable[[DataFrame, int], DataFrame]
 
 
@@ -20,13 +22,15 @@ def run_available(
     checkpoint: str,
     fmt: str = "parquet",
     glob: str | None = None,
+    result: T.StructType = DECISIONS,
 ) -> DataFrame:
     """Process what is new in ``source`` and return the decisions table.
 
     Every micro-batch is one wave. The stream's checkpoint remembers the files
     seen, so a rerun handles new files only. Each batch replaces its own
     ``wave=`` folder: a batch repeated after a crash writes the same rows to
-    the same place.
+    the same place. ``result`` is the schema of the table where nothing has
+    arrived yet.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -45,4 +49,7 @@ def run_available(
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], result)
     return spark.read.parquet(table).withColumn("wave", F.col("wave").cast("int"))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -150,29 +151,47 @@ def test_first_alias_in_store_order_wins(spark):
     assert got == {"p": "A", "q": None}
 
 
-def test_joined_substring_search_equals_the_inline_one(spark, monkeypatch):
-    rng = random.Random(5)
-    letters = "abc "
-    store = list({"".join(rng.choices(letters, k=rng.randrange(1, 7))).strip() or "a" for _ in range(40)})
+@pytest.mark.parametrize("size", [3, 40, 400])
+def test_substring_search_is_the_same_for_stores_of_any_size(spark, size):
+    rng = random.Random(size)
+    store = list(dict.fromkeys([" ", "", "a", "x  y", *("".join(rng.choices("abc ", k=rng.randrange(1, 8))) for _ in range(size))]))
     aliases = spark.createDataFrame([(i, a, a.upper()) for i, a in enumerate(store)], "ord int, alias string, canonical string")
-    texts = ["".join(rng.choices("abcd \n", k=rng.randrange(0, 15))) for _ in range(80)]
+    texts = ["x  y", " ", *("".join(rng.choices("abcd \n", k=rng.randrange(0, 15))) for _ in range(80))]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, t string")
-    inline = {r["path"]: r["entity"] for r in entities.match_substrings(df, "t", aliases, "path").collect()}
-    monkeypatch.setattr(entities, "INLINE_ALIASES", 0)
-    joined = {r["path"]: r["entity"] for r in entities.match_substrings(df, "t", aliases, "path").collect()}
-    assert joined == inline
-    assert len(set(inline.values())) > 3
+    got = {r["path"]: r["entity"] for r in entities.match_substrings(df, "t", aliases, "path").collect()}
+    # aliases of blanks name nothing
+    want = {str(i): next((a.upper() for a in store if a.strip() and a in t), None) for i, t in enumerate(texts)}
+    assert got == want
+
+
+def test_aliases_with_equal_beginnings_meet_only_their_words(spark):
+    aliases = spark.range(20_000).selectExpr("cast(id as int) as ord", "concat('customer#', lpad(cast(id as string), 6, '0')) as alias", "cast(id as string) as canonical")
+    df = spark.range(2_000).selectExpr("cast(id as string) as path", "concat('the customer#', lpad(cast(id * 7 as string), 6, '0'), ' and cus') as t")
+    found = entities.match_substrings(df, "t", aliases, "path").collect()
+    assert {r["path"]: r["entity"] for r in found} == {str(i): str(i * 7) for i in range(2_000)}
+
+
+def _indel_ratio(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *itertools.accumulate(range(len(b)), lambda best, j: max(best, row[j + 1], row[j] + (x == b[j])), initial=0)][1:]
+    return 200.0 * row[-1] / (len(a) + len(b))
 
 
 def test_piece_join_finds_every_pair_of_ratio_80(spark):
     rng = random.Random(9)
     words = list({"".join(rng.choices("abc", k=rng.randrange(1, 10))) for _ in range(150)})
-    store = list({"".join(rng.choices("abc", k=rng.randrange(1, 10))) for _ in range(70)})
-    aliases = spark.createDataFrame([(i, a, a) for i, a in enumerate(store)], "ord int, alias string, canonical string")
-    vocabulary = spark.createDataFrame([(w,) for w in words], "word string")
-    inline = entities.fuzzy_word_matches(vocabulary, aliases, inline=100).collect()
-    pieces = entities.fuzzy_word_matches(vocabulary, aliases, inline=0).collect()
-    assert sorted(map(tuple, inline)) == sorted(map(tuple, pieces)) and inline
+    for size in (3, 70):
+        store = list(dict.fromkeys(["", " ", *("".join(rng.choices("abc", k=rng.randrange(1, 10))) for _ in range(size))]))
+        aliases = spark.createDataFrame([(i, a, a) for i, a in enumerate(store)], "ord int, alias string, canonical string")
+        vocabulary = spark.createDataFrame([(w,) for w in words], "word string")
+        got = {r["word"]: (r["canonical"], round(r["ratio"], 6)) for r in entities.fuzzy_word_matches(vocabulary, aliases).collect()}
+        want = {}
+        for w in words:
+            best = min(((-_indel_ratio(w, a), i, a) for i, a in enumerate(store) if a.strip()), default=None)
+            if best and -best[0] >= 80:
+                want[w] = (best[2], round(-best[0], 6))
+        assert got == want and (size == 3 or want)
 
 
 def test_find_entity_falls_back_to_fuzzy_words(spark):
@@ -194,3 +213,21 @@ def test_confirmation_promotes_a_learned_name(spark):
     assert {tuple(r) for r in maps.collect()} == {("Acme", "ac"), ("Beta", "Bet")}
     assert {r[0] for r in names.collect()} == {"Gamma", "Foo"}
     assert {r["detected"] for r in left.collect()} == {"Bar"}
+
+
+def test_reply_numbers_in_any_form(spark):
+    from shelfmark import schemas
+
+    replies = ['{"confidence": 8}', '{"confidence": 8.0}', '{"confidence": "8"}', '{"confidence": 7.5}', '{"confidence": "high"}', "broken", None]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "k int, reply string")
+    got = [r["c"] for r in rows.select("k", decide.parse_reply(F.col("reply"))["confidence"].alias("c")).orderBy("k").collect()]
+    assert got == [8.0, 8.0, 8.0, 7.5, None, None, None]
+    pair = rows.select(decide.parse_reply(F.lit('{"keep_file": "2", "is_duplicate": true}'), schemas.PAIR_REPLY)["keep_file"].alias("k")).first()
+    assert pair["k"] == 2.0
+
+
+def test_fractional_confidence_passes_the_gate(spark):
+    first = spark.createDataFrame([(1, "A", 7.5, None, "r", "move"), (2, "A", 6.9, None, "r", "move")], "k int, category string, confidence double, entity_detected string, reasoning string, action string")
+    second = spark.createDataFrame([], "k int, changed boolean, final_category string, final_confidence double")
+    got = {r["k"]: r["action"] for r in decide.decide(first, second, "k").collect()}
+    assert got == {1: "move", 2: "unknown"}

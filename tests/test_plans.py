@@ -69,6 +69,25 @@ def test_written_decisions(spark):
     }
 
 
+def test_written_decisions_are_never_moves_by_accident(spark):
+    lines = spark.createDataFrame(
+        [("Inbox: DELETE 5,7, skip rest",), ("Papers: delete all",), ("Misc: Clients/West, North",), ("Old #1,2: skip",), ("Old #3,4-6: Move: A, B/",),
+         ("Papers - DELETE ALL",), ("Inbox: DELETE some",), ("Inbox: MOVE 5",), ("Inbox: DELETE 9-3",), ("Inbox: delete, 4 5",), ("",), (None,)],
+        "line string",
+    )
+    got = {tuple(r) for r in review.parse_decisions(lines).collect()}
+    assert got == {
+        ("Inbox", 5, 5, "DELETE", None, None), ("Inbox", 7, 7, "DELETE", None, None), ("Inbox", None, None, "SKIP", None, None),
+        ("Papers", None, None, "DELETE", None, None), ("Misc", None, None, "MOVE", "Clients/West, North", None),
+        ("Old", 1, 1, "SKIP", None, None), ("Old", 2, 2, "SKIP", None, None),
+        ("Old", 3, 3, "MOVE", "A, B", None), ("Old", 4, 6, "MOVE", "A, B", None),
+        ("", None, None, None, None, "Papers - DELETE ALL"), ("Inbox", None, None, None, None, "Inbox: DELETE some"),
+        ("Inbox", None, None, None, None, "Inbox: MOVE 5"), ("Inbox", None, None, None, None, "Inbox: DELETE 9-3"),
+        ("Inbox", None, None, "DELETE", None, None), ("Inbox", None, None, None, None, "Inbox: delete, 4 5"),
+        ("", None, None, None, None, ""), (None, None, None, None, None, None),
+    }
+
+
 def test_worksheet_pages(spark):
     rows = [(f"/d/Desktop/F{i:03}", f"F{i:03}") for i in range(205)]
     df = spark.createDataFrame(rows, "path string, filename string")

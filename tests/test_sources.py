@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from shelfmark.operators import filters
@@ -203,3 +205,37 @@ def test_scratch_follows_the_session_setting(spark):
     from shelfmark import session
 
     assert session.scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_links_to_folders_are_not_files_and_errors_come_out(spark, tmp_path):
+    from shelfmark.sources import inventory
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("x")
+    (tmp_path / "link").symlink_to(tmp_path / "a")
+    (tmp_path / "gone").symlink_to(tmp_path / "nowhere")
+    files, errors = inventory.list_tree(spark, str(tmp_path))
+    assert [r["path"] for r in files.collect()] == [str(tmp_path / "a" / "x.txt")]
+    assert [r["path"] for r in errors.collect()] == [str(tmp_path / "gone")]
+
+
+def test_report_keeps_groups_together(spark, tmp_path):
+    from shelfmark.sources import sinks
+
+    rows = [(0, "g2", 0, "keep b", "/b"), (0, "g1", 1, "delete z", "/z"), (0, "g1", 0, "keep a", "/a"), (0, "g2", 1, "delete c", "/c"), (0, "g1", 1, "delete y", "/y")]
+    lines = spark.createDataFrame(rows, "section int, group_key string, line_no int, line string, path string")
+    sinks.write_report(lines, str(tmp_path / "r"))
+    parts = sorted((tmp_path / "r").glob("part-*"))
+    got = [line for p in parts for line in p.read_text().splitlines()]
+    assert got == ["keep a", "delete y", "delete z", "keep b", "delete c"]
+
+
+def test_scratch_must_be_shared_on_a_cluster():
+    import types
+
+    from shelfmark import session
+
+    context = types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    cluster = types.SimpleNamespace(conf={}, sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_root(cluster)
