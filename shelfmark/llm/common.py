@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.bpe import Bpe
+from shelfmark.session import scratch_path
 
 #: Characters that one step of a Python kernel holds; batches of long texts are cut into groups of about this size.
 GROUP_CHARS = 1 << 20
@@ -99,3 +100,10 @@ def set_apart(docs: DataFrame, *needed: str):
         return df.select(*(F.col(hidden.get(c, c)).alias(c) for c in docs.columns))
 
     return inside, back
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``materialize`` for wide rows: packed more tightly."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

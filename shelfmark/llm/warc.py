@@ -1,6 +1,6 @@
 """WARC archives of pages, with segmented records.
 
-``write_archives`` writes plain WARC/1.1 files: per row a response whose block
+``write_archives`` writes gzipped WARC/1.1 files: per row a response whose block
 is an HTTP message with a chunked body, or, for a payload that an earlier
 record has, a revisit without body that names it. Blocks longer than
 ``segment_bytes`` are split: the record holds the first segment, continuation
@@ -19,6 +19,7 @@ empty table gives an empty archive. Extra columns are not stored.
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bounded_batches
-from shelfmark.session import materialize, scratch_path
+from shelfmark.llm.common import bounded_batches, stored
+from shelfmark.session import scratch_path
 
 SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 8 << 10
@@ -62,34 +63,29 @@ def _record(kind: str, rid: Column, fields: list[Column], block: Column) -> Colu
 
 
 def _uuid(*parts: Column) -> Column:
-    h = F.md5(F.concat_ws("\x1f", *parts).cast("binary"))
+    h = F.md5(F.concat_ws("-", *(p.cast("string") for p in parts)).cast("binary"))
     return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
 def with_roles(pages: DataFrame, payload: str, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, digest, rid, first_rid, first_page): ``first_`` name the record that a revisit refers to.
+    """(page, url, payload, digest, rid, first_rid): ``first_rid`` names the record that a revisit refers to.
 
-    Only digests and ids are compared; the payloads meet their roles by record
-    id. Equal rows collapse to one with a count before anything else, so that
-    a row of any number of copies is moved once.
+    Rows are stored once with a number of their own. Only digests and numbers
+    are compared; one row per repeated payload meets its copies, and the
+    payloads meet their roles by number.
     """
-    rows = pages.select(
-        "page_id", F.coalesce("url", F.lit("about:blank")).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload")
-    )
-    rows = rows.groupBy("page_id", "url", "payload").agg(F.count(F.lit(1)).alias("_copies"))
-    rows = rows.withColumn("payload", F.col("payload").cast("binary")).withColumn("digest", base32_sha1(F.col("payload")))
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
     # a URL may hold anything: line breaks would end its header line
-    rows = rows.withColumn("url", F.regexp_replace("url", r"[\x00-\x20\x7f]", "")).withColumn("page", page)
-    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-    copies = materialize(copies.withColumn("rid", _uuid(page, F.col("url"), F.col("digest"), F.col("_copy").cast("string"))).drop("_copies"), "pages")
-    slim = copies.filter(F.length("payload") >= least_bytes).select("page_id", "page", "rid", "digest")
-    order = F.struct(F.col("page_id").isNull().alias("null_last"), "page_id", "rid")
-    # one row per payload that several records have
+    url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20\x7f]", "")
+    body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
+    rows = pages.select(F.monotonically_increasing_id().alias("_id"), "page_id", url.alias("url"), body.alias("payload"))
+    rows = stored(rows.withColumn("digest", base32_sha1(F.col("payload"))), "pages")
+    slim = rows.filter(F.length("payload") >= least_bytes).select("page_id", "_id", "digest")
+    order = F.struct(F.col("page_id").isNull().alias("null_last"), "page_id", "_id")
     firsts = slim.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = slim.join(firsts, "digest").filter("rid <> first.rid")
-    again = again.select("rid", F.col("first.rid").alias("first_rid"), F.col("first.page_id").alias("first_page"))
-    return copies.join(again, "rid", "left")
+    again = slim.join(firsts, "digest").filter("_id <> first._id").select("_id", F.col("first._id").alias("_first"))
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
+    named = rows.join(again, "_id", "left").withColumn("page", page)
+    return named.withColumn("rid", _uuid(F.col("_id"))).withColumn("first_rid", F.when(F.col("_first").isNotNull(), _uuid(F.col("_first"))))
 
 
 def write_archives(
@@ -118,13 +114,13 @@ def write_archives(
         total = F.when(i == n - 1, _ascii("WARC-Segment-Total-Length: ", F.length("block").cast("string"), _CRLF)).otherwise(F.lit(b""))
         origin = _ascii("WARC-Segment-Origin-ID: <urn:uuid:", F.col("rid"), ">" + _CRLF)
         first = _record("response", F.col("rid"), [*common, digest, kind, one], data)
-        return F.when(i == 0, first).otherwise(_record("continuation", _uuid(F.col("rid"), i.cast("string")), [*common, number, origin, total], data))
+        return F.when(i == 0, first).otherwise(_record("continuation", _uuid(F.col("rid"), i), [*common, number, origin, total], data))
 
     responses = rows.filter("first_rid is null").withColumn("block", body).withColumn("segments", _pieces(F.col("block"), segment_bytes))
     responses = responses.select(F.explode(F.transform("segments", segment)).alias("record"))
     records = responses.unionAll(rows.filter("first_rid is not null").select(revisit.alias("record")))
     out = records.select(F.col("record").cast("string").alias("value"))
-    out.write.option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    out.write.option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(folder)
 
 
 _FIELD = re.compile(rb"([^\r\n:]+): ?([^\r\n]*)\r\n")
@@ -164,14 +160,14 @@ def unchunk(block: bytes) -> bytes:
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record of all files: its header fields and its block."""
+    """One row per record of all files, gzipped or not: its header fields and its block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         short = lambda s: None if s is None else s.strip("<>").removeprefix("urn:uuid:")
         for batch in batches:
             for raw in batch["content"]:
                 rows = []
-                for f, block in split_records(raw):
+                for f, block in split_records(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     page = f.get("warc-page-id")
                     number = f.get("warc-segment-number")
                     total = f.get("warc-segment-total-length")
@@ -213,7 +209,7 @@ def reassemble(records: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of every page; revisits have no payload of their own."""
-    records = materialize(read_records(spark, folder), "records")
+    records = read_records(spark, folder)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import base64
