@@ -409,17 +409,32 @@ class Bpe:
         self.n_pool += len(flat)
 
     n_pool = 0
-    #: Distinct chunks kept; beyond it the cache starts anew, which changes no result.
-    cache_chunks = 100_000
+    #: Distinct chunks kept; beyond it those that came once are forgotten, which changes no result.
+    cache_chunks = 400_000
 
     def forget(self) -> None:
         """Drop the cache; the tables stay."""
         self.cache, self.pool, self.spans, self.n_pool = {}, [], [], 0
+        self.hits = np.empty(0, np.int64)
+
+    def _prune(self) -> None:
+        """Keep at most half the cache: the chunks that came most often."""
+        least = max(2, int(np.partition(self.hits, -self.cache_chunks // 2)[-self.cache_chunks // 2]) + 1)
+        keep = np.nonzero(self.hits >= least)[0]
+        names = np.array(list(self.cache), object)[keep].tolist()
+        starts, lens = self.spans[0][:, keep]
+        ends = np.cumsum(lens)
+        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)
+        self.cache = dict(zip(names, range(len(names)), strict=True))
+        self.pool, self.spans, self.n_pool = [self.pool[0][take]], [np.stack([ends - lens, lens])], len(take)
+        self.hits = self.hits[keep] // 2
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each."""
-        if not self.cache or len(self.cache) > self.cache_chunks:
+        if not self.cache:
             self.forget()
+        elif len(self.cache) > self.cache_chunks:
+            self._prune()
         parts = [self.chunks(t) for t in texts]
         n_parts = np.fromiter(map(len, parts), np.int64, len(parts))
         every = list(chain.from_iterable(parts))
@@ -431,6 +446,9 @@ class Bpe:
         if not every:
             return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
         at = np.fromiter(map(self.cache.__getitem__, every), np.int64, len(every))
+        seen = np.bincount(at, minlength=len(self.cache))
+        seen[: len(self.hits)] += self.hits
+        self.hits = seen
         starts, lens = self.spans[0][0][at], self.spans[0][1][at]
         ends = np.cumsum(lens)
         take = np.arange(ends[-1]) + np.repeat(starts - (ends - lens), lens)

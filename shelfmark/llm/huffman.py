@@ -24,12 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bounded_batches, bpe_of, crc32_rows, documents, range_cuts, text_groups
-from shelfmark.session import materialize, scratch_path
+from shelfmark.llm.common import bounded_batches, bpe_of, documents, range_cuts, stored, text_groups
+from shelfmark.session import scratch_path
 
 BLOCK = 256
 #: Coded bytes of a segment (a longer document has a segment of its own).
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 512 << 10
 #: Coded bytes per range of documents.
 RANGE_BYTES = 16 << 20
 
@@ -168,7 +168,7 @@ def token_counts(tokens: DataFrame) -> DataFrame:
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, max_bits: int | None = None) -> None:
     """Encode ``docs`` and write the format to ``folder``."""
     spark = docs.sparkSession
-    tokens = materialize(token_table(docs, path, end_id), "tokens")
+    tokens = stored(token_table(docs, path, end_id), "tokens")
     found = token_counts(tokens).collect()  # at most one row per id of the vocabulary
     size = 1 + max((r["id"] for r in found), default=0)
     counts = np.zeros(size, np.int64)
