@@ -241,8 +241,7 @@ CUR = f"""cur as (select *, {R.first_hit(PATH_RULES, 'path', 'category')} as by_
     {R.first_hit(GENERIC_RULES, 'filename', 'category', True)} as by_name,
     case when {CLEAR_SIGNALS_SQL} or exists (select 1 from aliases where contains(lower(filename), alias)) then null
       else {_phrase_sql('low')} end as phrase
-  from (select *, lower(case extension when '.txt' then left(text, 5000) when '.csv' then
-      array_to_string(list_slice(string_split(left(text, 5000), chr(10)), 1, 20), chr(10)) end) as low
+  from (select *, lower(case when extension in ('.txt', '.csv') then text end) as low
     from pending where path not in (select path from version_members where not is_canonical)))"""
 
 

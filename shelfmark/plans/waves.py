@@ -11,7 +11,7 @@ from shelfmark.operators import categorize, decide, dedup, filters, scoring
 from shelfmark.operators.entities import match_substrings
 from shelfmark.session import materialize
 from shelfmark.settings import Settings
-from shelfmark.sources.preview import text_previews
+from shelfmark.sources.preview import whole_texts
 
 
 @dataclass(frozen=True)
@@ -43,8 +43,10 @@ def run_wave(
     waves for sibling context; ``at``: the decision time column.
 
     Older versions leave first, then the rules decide, and only rows without a
-    rule hit get a preview and reach the scorer. The second call is made for
-    borderline answers alone.
+    rule hit reach the scorer: their paths meet the inventory before any text
+    is looked at. The scorer gets whole texts; how much of one a request shows
+    is a setting of the request. The second call is made for borderline
+    answers alone.
     """
     slim = accepted(files.drop("text"), settings)
     pending = filters.pending_files(slim, processed)
@@ -58,9 +60,11 @@ def run_wave(
     named = match_substrings(open_rows, "filename", aliases, "path", "_entity")
     clear = categorize.signal_regex(F.col("filename")) | F.col("_entity").isNotNull()
     signal = clear & F.lit(settings.skip_content_for_clear_signals)
-    # texts are cut to previews where they are scanned; only previews can be shuffled
-    texts = text_previews(files, settings).select("path", "status", "preview")
-    previews = named.join(texts, "path").withColumn("preview", F.when(~signal, F.col("preview")))
+    named = materialize(named.withColumn("_signal", signal), "open").withColumn("preview", F.lit(None).cast("string"))
+    # rows with a clear signal are decided by their names: their texts are not read
+    wanted = named.filter(~F.col("_signal")).select("path")
+    texts = whole_texts(files.join(wanted, "path", "left_semi")).select("path", F.col("preview").alias("_whole"))
+    previews = named.join(texts, "path", "left").withColumn("preview", F.col("_whole")).drop("_whole", "_signal")
     if earlier is not None and settings.sibling_context_enabled:
         folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
         previews = scoring.sibling_context(previews.withColumn("folder", folder), earlier, "folder", settings)

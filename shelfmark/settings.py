@@ -55,4 +55,4 @@ class Settings:
     # near duplicates
     shingle_words: int = 3
     near_threshold: float = 0.8
-    judge_chars: int = 2000
+    judge_chars: int | None = None  # whole texts; a length limit for a judge that needs one

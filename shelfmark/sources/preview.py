@@ -76,6 +76,12 @@ def text_previews(files: DataFrame, settings: Settings = Settings()) -> DataFram
     return files.withColumn("status", status).withColumn("preview", text)
 
 
+def whole_texts(files: DataFrame) -> DataFrame:
+    """``preview`` as the whole decoded text; NULL for formats without an extractor."""
+    text = F.when(F.col("extension").isin(".txt", ".csv"), F.col("text")).when(F.col("extension") == ".rtf", strip_rtf(F.col("text")))
+    return files.withColumn("preview", text)
+
+
 def binary_previews(
     files: DataFrame,
     extractors: dict[str, Extractor] | None = None,

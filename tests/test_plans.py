@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import moves, review, state, stats
+from shelfmark.operators.categorize import CONTENT_ROUTES
 from shelfmark.plans import structure, waves
 from shelfmark.settings import Settings
 from shelfmark.streaming.waves import run_available
@@ -84,7 +85,7 @@ def test_written_decisions_are_never_moves_by_accident(spark):
         ("", None, None, None, None, "Papers - DELETE ALL"), ("Inbox", None, None, None, None, "Inbox: DELETE some"),
         ("Inbox", None, None, None, None, "Inbox: MOVE 5"), ("Inbox", None, None, None, None, "Inbox: DELETE 9-3"),
         ("Inbox", None, None, "DELETE", None, None), ("Inbox", None, None, None, None, "Inbox: delete, 4 5"),
-        ("", None, None, None, None, ""), (None, None, None, None, None, None),
+        ("", None, None, None, None, ""),  # a null is no line
     }
 
 
@@ -152,6 +153,15 @@ def test_two_waves_equal_one_batch(spark):
     assert ("/r/y/acme offer.txt", "Unknown", "unknown") in whole
 
 
+def test_phrases_far_behind_in_a_text_decide(spark):
+    none = spark.createDataFrame([], "path string")
+    files = inventory(spark, ["x/notes.txt", "x/table.csv"])
+    phrase = CONTENT_ROUTES[0][1][0]
+    far = files.withColumn("text", F.concat(F.repeat(F.lit("word\n"), 4000), F.lit(phrase)))
+    got = {r["category"] for r in run(spark, far, none, 1).collect()}
+    assert got == {CONTENT_ROUTES[0][0]}
+
+
 def test_older_versions_leave_before_scoring(spark):
     none = spark.createDataFrame([], "path string")
     got = {r["path"]: r["action"] for r in run(spark, inventory(spark, ["x/p_v1.txt", "x/p_v2.txt"]), none, 1).collect()}
