@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.checks import inputs as I
 from shelfmark.checks import rule_sql as R
-from shelfmark.checks.files import CASCADE_SQL, MANY_TOPS, REPORT_SQL, RULES, _many_tops
+from shelfmark.checks.files import CASCADE_SQL, MANY_TOPS, REPORT_SQL, ROUTED, RULES, _many_tops, phrase_sql
 from shelfmark.checks.registry import query
 from shelfmark.operators import categorize, decide, entities, filters, neardup, scoring, state
 from shelfmark.settings import Settings
@@ -327,29 +327,15 @@ def find_entities(spark, sf):
     return entities.find_entities(files, "words", I.aliases(spark), "path").select("path", "entity")
 
 
-PLANTED = """case doc_id % 11 when 0 then text || ' Security Questionnaire' when 1 then 'INVOICE TO US ' || text
-    when 2 then text || ' the account was terminated' when 3 then text || ' SOW for nobody'
-    when 4 then text || ' budget' when 5 then text || ' expense report' when 6 then text || ' sales template'
-    else text end"""
-
-
-def _phrase_sql(text: str) -> str:
-    arms = [
-        f"when {' or '.join(f'contains({text}, {R.quote(p)})' for p in phrases)} then {R.quote(category)}"
-        for category, phrases in categorize.CONTENT_ROUTES
-    ]
-    return f"case {' '.join(arms)} end"
-
-
 @query(
     "score_files",
     f"""select doc_id, coalesce(c, 'Unknown') as category, cast(case when c is null then 2 else 8 end as int) as confidence,
         case when c is null then 'unknown' else 'move' end as action,
         case when c is null then 'No phrase found' else 'Phrase found in text' end as reasoning
-      from (select doc_id, {_phrase_sql('t')} as c from (select doc_id, lower({PLANTED}) as t from documents))""",
+      from (select doc_id, {phrase_sql('t')} as c from (select doc_id, lower({ROUTED}) as t from documents))""",
 )
 def score_files(spark, sf):
-    rows = I.documents(spark, sf).select("doc_id", F.expr(PLANTED).alias("preview"))
+    rows = I.documents(spark, sf).select("doc_id", F.expr(ROUTED).alias("preview"))
     return scoring.score_and_parse(rows, key="doc_id").select("doc_id", "category", F.col("confidence").cast("int").alias("confidence"), "action", "reasoning")
 
 

@@ -403,19 +403,22 @@ def rule_cascade(spark, sf):
     )
 
 
-ROUTED = """case doc_id % 11 when 0 then text || ' Security Questionnaire' when 1 then 'INVOICE TO US ' || text
-    when 2 then text || ' the account was terminated' when 3 then text || ' SOW for nobody'
-    when 4 then text || ' budget' when 5 then text || ' expense report' when 6 then text || ' sales template'
+ROUTED = """case doc_id % 11 when 0 then text || ' Risk Questionnaire' when 1 then 'BILL TO US ' || text
+    when 2 then text || ' the account ended' when 3 then text || ' Statement of Work'
+    when 4 then text || ' budget' when 5 then text || ' travel claim' when 6 then text || ' pitch template'
     else text end"""
 
 
-def _route_sql(text: str, modified: str) -> str:
+def phrase_sql(text: str, rest: str = "") -> str:
     arms = [
         f"when {' or '.join(f'contains({text}, {R.quote(p)})' for p in phrases)} then {R.quote(category)}"
         for category, phrases in categorize.CONTENT_ROUTES
     ]
-    old = f"when {modified} < timestamp '{categorize.OLD_CONTENT_BEFORE} 00:00:00' then 'Archive-Pre-2025'"
-    return f"case {' '.join(arms)} {old} end"
+    return f"case {' '.join(arms)} {rest} end"
+
+
+def _route_sql(text: str, modified: str) -> str:
+    return phrase_sql(text, f"when {modified} < timestamp '{categorize.OLD_CONTENT_BEFORE} 00:00:00' then 'Archive-Pre-2025'")
 
 
 @query(

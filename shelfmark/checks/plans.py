@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.checks import inputs as I
 from shelfmark.checks import rule_sql as R
-from shelfmark.checks.decisions import _phrase_sql
+from shelfmark.checks.files import phrase_sql
 from shelfmark.checks.duplicates import version_members
 from shelfmark.checks.files import PATH_RULES, GENERIC_RULES, CLEAR_SIGNALS_SQL
 from shelfmark.checks.registry import query
@@ -240,7 +240,7 @@ WAVE = [
 CUR = f"""cur as (select *, {R.first_hit(PATH_RULES, 'path', 'category')} as by_path,
     {R.first_hit(GENERIC_RULES, 'filename', 'category', True)} as by_name,
     case when {CLEAR_SIGNALS_SQL} or exists (select 1 from aliases where contains(lower(filename), alias)) then null
-      else {_phrase_sql('low')} end as phrase
+      else {phrase_sql('low')} end as phrase
   from (select *, lower(case when extension in ('.txt', '.csv') then text end) as low
     from pending where path not in (select path from version_members where not is_canonical)))"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from shelfmark.settings import OTHER_AREA, REVIEW_AREAS, SPLIT_AREAS
+
 import re
 from collections.abc import Sequence
 
@@ -75,12 +77,10 @@ def size_label(size: str) -> str:
 
 
 def review_bucket(path: str) -> str:
-    low = f"lower({path})"
-    tail = f"string_split({path}, 'Work Documents/')[2]"
-    return f"""case when contains({low}, 'mailattachments') then 'Downloads/MailAttachments'
-      when contains({low}, '/downloads/') then 'Downloads' when contains({low}, '/desktop/') then 'Desktop'
-      when contains({low}, '/archive/') then 'Archive'
-      when contains({low}, 'work documents') then case when {tail} is null then 'Work Documents'
-        when contains({tail}, '/') then 'Work Documents/' || string_split({tail}, '/')[1]
-        else 'Work Documents/root' end
-      else 'Drive Root' end"""
+    arms = " ".join(f"when contains(lower({path}), {quote(part)}) then {quote(label)}" for part, label in REVIEW_AREAS)
+    sql = f"case {arms} else {quote(OTHER_AREA)} end"
+    for name in SPLIT_AREAS:
+        below = f"string_split({path}, '{name}/')[2]"
+        folder = f"case when contains({below}, '/') then split_part({below}, '/', 1) else 'root' end"
+        sql = f"case when {sql} = '{name}' and {below} is not null then '{name}/' || {folder} else {sql} end"
+    return sql

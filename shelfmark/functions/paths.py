@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfmark.settings import OTHER_AREA, REVIEW_AREAS, SPLIT_AREAS
+
 
 def _slashes(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))
@@ -76,21 +78,14 @@ def size_label(size: Column) -> Column:
     return label.otherwise(F.format_string("%.1f PB", F.bround(value / F.lit(float(1024**5)), 1)))
 
 
-def review_bucket(path: Column) -> Column:
-    """Label of the noisy area a file lies in; first matching rule wins."""
+def review_bucket(path: Column, areas=REVIEW_AREAS, split=SPLIT_AREAS, other: str = OTHER_AREA) -> Column:
+    """Label of the area a file lies in; first matching area wins."""
     norm = _slashes(path)
     low = F.lower(norm)
-    after = F.split(norm, "Work Documents/")
-    tail = F.get(after, F.lit(1))
-    sub = F.when(tail.contains("/"), F.element_at(F.split(tail, "/"), 1)).otherwise(F.lit("root"))
-    return (
-        F.when(low.contains("mailattachments"), "Downloads/MailAttachments")
-        .when(low.contains("/downloads/"), "Downloads")
-        .when(low.contains("/desktop/"), "Desktop")
-        .when(low.contains("/archive/"), "Archive")
-        .when(
-            low.contains("work documents"),
-            F.when(F.size(after) > 1, F.concat(F.lit("Work Documents/"), sub)).otherwise("Work Documents"),
-        )
-        .otherwise("Drive Root")
-    )
+    hits = F.filter(F.array(*[F.when(low.contains(part), label) for part, label in areas]), lambda x: x.isNotNull())
+    area = F.coalesce(F.get(hits, F.lit(0)), F.lit(other))
+    for name in split:
+        below = F.get(F.split(norm, f"{name}/"), F.lit(1))
+        folder = F.when(below.contains("/"), F.substring_index(below, "/", 1)).otherwise("root")
+        area = F.when((area == name) & below.isNotNull(), F.concat(F.lit(f"{name}/"), folder)).otherwise(area)
+    return area

@@ -8,6 +8,26 @@ from dataclasses import dataclass, field
 SKIP_FOLDERS = ("node_modules", ".git", "__pycache__", ".obsidian", ".vscode", "venv", ".env")
 SKIP_EXTENSIONS = (".md", ".log", ".tmp", ".bak")
 PROCESS_EXTENSIONS = (".docx", ".doc", ".xlsx", ".xls", ".pptx", ".ppt", ".pdf", ".txt", ".csv")
+# Samples to be replaced by a run's own: what a text says -> where it goes, first hit first.
+CONTENT_PHRASES = (
+    ("Governance/Questionnaires", ("questionnaire", "due diligence form", "risk review")),
+    ("Vendors", ("bill to us", "quote for us", "renewal notice", "licence fee")),
+    ("Customers", ("account ended", "not approved", "kick-off", "statement of work", "onboarding")),
+    ("Internal/Finance", ("budget", "costs by month")),
+    ("HR/Expenses", ("travel claim", "receipts attached")),
+    ("Templates/Sales", ("pitch template",)),
+)
+# Areas of a tree that a review is grouped by, (part of the lower-cased path, label), first hit first;
+# files of a split area are told apart by the folder below it.
+REVIEW_AREAS = (
+    ("mailattachments", "Downloads/MailAttachments"),
+    ("/downloads/", "Downloads"),
+    ("/desktop/", "Desktop"),
+    ("/archive/", "Archive"),
+    ("work documents", "Work Documents"),
+)
+SPLIT_AREAS = ("Work Documents",)
+OTHER_AREA = "Drive Root"
 
 
 @dataclass(frozen=True)
@@ -46,6 +66,7 @@ class Settings:
     customers: dict[str, list[str]] = field(default_factory=dict)
     former_customers: dict[str, dict] = field(default_factory=dict)
     filename_rules: dict[str, str] = field(default_factory=dict)
+    content_phrases: tuple[tuple[str, tuple[str, ...]], ...] = CONTENT_PHRASES
 
     # review
     review_page_rows: int = 100

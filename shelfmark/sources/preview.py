@@ -44,6 +44,7 @@ def decode_bytes(content: Column) -> Column:
 
 
 def strip_rtf(text: Column) -> Column:
+    # fixed values: what is taken out of a rich text
     no_words = F.regexp_replace(text, r"\\[a-z]+\d*\s?", " ")
     no_braces = F.regexp_replace(no_words, r"[{}]", "")
     return F.trim(F.regexp_replace(no_braces, r"\s+", " "))
