@@ -122,15 +122,16 @@ def marked_lines(lines: DataFrame) -> np.ndarray:
     """Bitmap of the lines that share a half key with another line."""
     halves = lines.select("lo", F.explode("keys").alias("key"))
     shared = halves.groupBy("key").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).filter("a <> b").select("key")
-    slot = F.col("lo").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    slot = F.col("lo").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1
     some = halves.join(shared, "key").select(slot.alias("slot"))
-    words = some.groupBy(F.shiftright("slot", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")
+    parts = some.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
     )
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    for r in words.toLocalIterator():  # at most one row per word of the bitmap
-        bitmap[r["word"]] = r["bits"]
-    return bitmap.view(np.uint64)
+    size = (1 << 15) // 8  # bytes of a part
+    bitmap = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    for r in parts.collect():  # the whole bitmap at most, 8 MB
+        bitmap[(r["part"] - 1) * size : r["part"] * size] = np.frombuffer(r["bits"], np.uint8)
+    return bitmap
 
 
 def near_earlier(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -139,8 +140,16 @@ def near_earlier(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap, mask = marks.value, (1 << BITMAP_BITS) - 1
+        seen: set[tuple[int, int]] = set()
+        found: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+        size = 0
+
+        def close() -> pd.DataFrame:
+            n = [len(f[0]) for f in found]
+            kinds, keys = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            return pd.DataFrame({"kind": kinds, "key": keys, "hi": np.repeat([f[2] for f in found], n), "lo": np.repeat([f[3] for f in found], n)})
+
         for batch in batches:
-            seen = set()
             for text in batch["text"]:
                 for _, words in _lines(text):
                     n = len(words)
@@ -148,19 +157,22 @@ def near_earlier(docs: DataFrame, lines: DataFrame) -> DataFrame:
                         continue
                     hi, lo, joined = _identity(words)
                     slot = lo & mask
-                    if not int(bitmap[slot >> 6]) >> (slot & 63) & 1 or (hi, lo) in seen:
+                    if not bitmap[slot >> 3] >> (slot & 7) & 1 or (hi, lo) in seen:
                         continue
                     seen.add((hi, lo))
                     placed, free, whole = variant_keys(words)
                     # kinds: 0 the line itself, 1 a variant to meet a line itself, 2 a variant at its position
-                    yield pd.DataFrame(
-                        {
-                            "kind": np.repeat([0, 1, 2], [1, n if n > MIN_WORDS else 0, n]),
-                            "key": np.concatenate([[whole], free[: n if n > MIN_WORDS else 0], placed]),
-                            "hi": hi,
-                            "lo": lo,
-                        }
-                    )
+                    inserted = n if n > MIN_WORDS else 0
+                    kinds = np.repeat(np.array([0, 1, 2], np.int32), [1, inserted, n])
+                    found.append((kinds, np.concatenate([[whole], free[:inserted], placed]), hi, lo))
+                    size += len(kinds)
+                    if size > 1 << 18:
+                        yield close()
+                        found, size = [], 0
+            if len(seen) > 1 << 18:  # repeated lines only cost their variants again
+                seen.clear()
+        if found:
+            yield close()
 
     keys = docs.select("text").mapInPandas(run, "kind int, key long, hi long, lo long").distinct()
     named = keys.join(lines.select("hi", "lo", "first"), ["hi", "lo"])
