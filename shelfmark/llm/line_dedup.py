@@ -10,11 +10,12 @@ Lines at distance one share a deletion variant: the words without one of them.
 All variants are emitted as hashed keys and equal keys meet. A replaced word
 leaves the same variant at the same position; an inserted one leaves the other
 line itself. Each key's smallest first occurrence is taken by aggregation,
-never pairs of a group, and what a line meets is verified by its words. Only
-lines that share a half with another line emit variants: one edit leaves one
-half of a line as it is. Half keys of distinct lines are counted, and the
-lines with a shared key are marked in a bitmap of fixed size (``BITMAP_BITS``),
-which all tasks get; a false mark costs its variants and changes nothing.
+never pairs of a group, and what a line meets is verified by its words. One
+edit falls into one third of a line and leaves the other two as they are, so
+only thirds whose rest another line shares emit variants. The keys of all
+rests are counted, and those of several lines are marked in a bitmap of fixed
+size (``BITMAP_BITS``), which all tasks get; a false mark costs its variants
+and changes nothing.
 
 Lines without words stay. Null texts stay null. Documents without id stay
 unchanged and are not compared. Rows that repeat an id are the same document:
@@ -37,7 +38,8 @@ from shelfmark.llm.common import bounded_batches, documents, set_apart
 from shelfmark.session import materialize
 
 MIN_WORDS = 8
-BITMAP_BITS = 26
+BITMAP_BITS = 27
+PARTS = 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -60,16 +62,25 @@ def _identity(words: list[bytes]) -> tuple[int, int, bytes]:
     return _signed(h >> 64), _signed(h & (1 << 64) - 1), joined
 
 
-def half_keys(words: list[bytes], joined: bytes) -> list[int]:
-    """Keys of both halves, as a line of this length and as the longer one of two lines."""
-    n, keys = len(words), []
+def rest_keys(words: list[bytes], joined: bytes) -> list[tuple[int, int, int, int]]:
+    """(key, role, first, stop) of the line without each of its parts.
+
+    In role 0 the line stands for its own length, in role 1 for the longer one
+    of two lines: it then leaves out one word more. ``first`` to ``stop`` are the
+    places where the edit may be.
+    """
+    n, out = len(words), []
+    at = [0]  # where each word begins
+    for w in words:
+        at.append(at[-1] + len(w) + 1)
     for role, size in ((0, n), (1, n - 1)):
-        half = size // 2
-        cut = len(b" ".join(words[:half]))
-        rest = cut + 1 if not role else cut + 1 + len(words[half]) + 1
-        keys.append(_signed(xxhash.xxh64_intdigest(joined[:cut], size << 1)))
-        keys.append(_signed(xxhash.xxh64_intdigest(joined[rest:], size << 1 | 1)))
-    return keys
+        if size < MIN_WORDS:
+            continue
+        for part in range(PARTS):
+            first, stop = size * part // PARTS, size * (part + 1) // PARTS + role
+            rest = joined[: at[first]] + joined[at[stop] :] if stop < n else joined[: at[first]]
+            out.append((_signed(xxhash.xxh64_intdigest(rest, size * PARTS + part)), role, first, stop))
+    return out
 
 
 def variant_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -96,77 +107,92 @@ def near(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per distinct line: its 128-bit hash, words, first occurrence and half keys."""
+    """One row per distinct line: its 128-bit hash and its first occurrence."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: dict[tuple[int, int], tuple] = {}
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
                 for place, words in _lines(text):
+                    line = _identity(words)[:2]
+                    known = rows.get(line)
+                    if known is None or (doc_id, place) < known:
+                        rows[line] = (doc_id, place)
+            yield pd.DataFrame([(*k, *v) for k, v in rows.items()], columns=["hi", "lo", "doc_id", "place"])
+
+    each = docs.select("doc_id", "text").mapInPandas(run, "hi long, lo long, doc_id long, place int")
+    return each.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "place")).alias("first"))
+
+
+def shared_keys(docs: DataFrame) -> np.ndarray:
+    """Bitmap of the rest keys that several different lines have."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen, keys, lines = set(), [], []
+            for text in batch["text"]:
+                for _, words in _lines(text):
+                    if len(words) < MIN_WORDS:
+                        continue
                     hi, lo, joined = _identity(words)
-                    known = rows.get((hi, lo))
-                    if known is None or (doc_id, place) < known[:2]:
-                        keys = known[3] if known else half_keys(words, joined) if len(words) >= MIN_WORDS else []
-                        rows[hi, lo] = (doc_id, place, len(words), keys)
-            columns = zip(*rows.values(), strict=True) if rows else ([], [], [], [])
-            found = dict(zip(("doc_id", "place", "n", "keys"), map(list, columns), strict=True))
-            yield pd.DataFrame({"hi": [k[0] for k in rows], "lo": [k[1] for k in rows], **found})
-
-    each = docs.select("doc_id", "text").mapInPandas(run, "hi long, lo long, doc_id long, place int, n int, keys array<long>")
-    # equal lines have equal keys: the smallest occurrence brings them along
-    best = F.min(F.struct("doc_id", "place", "n", "keys")).alias("best")
-    return each.groupBy("hi", "lo").agg(best).select("hi", "lo", F.struct("best.doc_id", "best.place").alias("first"), "best.n", "best.keys")
-
-
-def marked_lines(lines: DataFrame) -> np.ndarray:
-    """Bitmap of the lines that share a half key with another line."""
-    halves = lines.select("lo", F.explode("keys").alias("key"))
-    shared = halves.groupBy("key").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).filter("a <> b").select("key")
-    slot = F.col("lo").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1
-    some = halves.join(shared, "key").select(slot.alias("slot"))
-    parts = some.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+                    if (hi, lo) not in seen:
+                        seen.add((hi, lo))
+                        found = [k[0] for k in rest_keys(words, joined)]
+                        keys += found
+                        lines += [lo] * len(found)
+            yield pd.DataFrame({"key": np.array(keys, np.int64), "line": np.array(lines, np.int64)})
+
+    keys = docs.select("text").mapInPandas(run, "key long, line long")
+    shared = keys.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b")
+    slot = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1
+    parts = shared.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
     )
     size = (1 << 15) // 8  # bytes of a part
     bitmap = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    for r in parts.collect():  # the whole bitmap at most, 8 MB
+    for r in parts.collect():  # the whole bitmap at most, 16 MB
         bitmap[(r["part"] - 1) * size : r["part"] * size] = np.frombuffer(r["bits"], np.uint8)
     return bitmap
 
 
 def near_earlier(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(hi, lo): distinct lines with a near line whose first occurrence is earlier."""
-    marks = docs.sparkSession.sparkContext.broadcast(marked_lines(lines))
+    marks = docs.sparkSession.sparkContext.broadcast(shared_keys(docs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap, mask = marks.value, (1 << BITMAP_BITS) - 1
         seen: set[tuple[int, int]] = set()
-        found: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+        found: list[tuple] = []
         size = 0
 
         def close() -> pd.DataFrame:
             n = [len(f[0]) for f in found]
             kinds, keys = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            return pd.DataFrame({"kind": kinds, "key": keys, "hi": np.repeat([f[2] for f in found], n), "lo": np.repeat([f[3] for f in found], n)})
+            # the words travel once per line, with the line itself
+            words = np.where(kinds == 0, np.repeat(np.array([f[4] for f in found], object), n), None)
+            return pd.DataFrame({"kind": kinds, "key": keys, "hi": np.repeat([f[2] for f in found], n), "lo": np.repeat([f[3] for f in found], n), "words": words})
 
         for batch in batches:
             for text in batch["text"]:
                 for _, words in _lines(text):
-                    n = len(words)
-                    if n < MIN_WORDS:
+                    if len(words) < MIN_WORDS:
                         continue
                     hi, lo, joined = _identity(words)
-                    slot = lo & mask
-                    if not bitmap[slot >> 3] >> (slot & 7) & 1 or (hi, lo) in seen:
+                    if (hi, lo) in seen:
+                        continue
+                    shared = [k for k in rest_keys(words, joined) if bitmap[(k[0] & mask) >> 3] >> (k[0] & 7) & 1]
+                    if not shared:
                         continue
                     seen.add((hi, lo))
                     placed, free, whole = variant_keys(words)
                     # kinds: 0 the line itself, 1 a variant to meet a line itself, 2 a variant at its position
-                    inserted = n if n > MIN_WORDS else 0
-                    kinds = np.repeat(np.array([0, 1, 2], np.int32), [1, inserted, n])
-                    found.append((kinds, np.concatenate([[whole], free[:inserted], placed]), hi, lo))
-                    size += len(kinds)
-                    if size > 1 << 18:
+                    kinds, keys = [np.zeros(1, np.int32)], [np.array([whole])]
+                    for _, role, first, stop in shared:
+                        kinds.append(np.full(stop - first, 1 if role else 2, np.int32))
+                        keys.append((free if role else placed)[first:stop])
+                    found.append((np.concatenate(kinds), np.concatenate(keys), hi, lo, joined))
+                    size += len(found[-1][0])
+                    if size > 1 << 17:
                         yield close()
                         found, size = [], 0
             if len(seen) > 1 << 18:  # repeated lines only cost their variants again
@@ -174,9 +200,10 @@ def near_earlier(docs: DataFrame, lines: DataFrame) -> DataFrame:
         if found:
             yield close()
 
-    keys = docs.select("text").mapInPandas(run, "kind int, key long, hi long, lo long").distinct()
-    named = keys.join(lines.select("hi", "lo", "first"), ["hi", "lo"])
-    named = materialize(named.withColumn("at", F.col("kind") == 2), "variants")
+    emitted = docs.select("text").mapInPandas(run, "kind int, key long, hi long, lo long, words binary")
+    # a line in many documents emits the same rows in many tasks
+    keys = emitted.groupBy("hi", "lo", "kind", "key").agg(F.min("words").alias("words"))
+    named = materialize(keys.join(lines, ["hi", "lo"]).withColumn("at", F.col("kind") == 2), "variants")
     itself = F.col("kind") == 0
     best = named.groupBy("key", "at").agg(
         F.min("first").alias("any_first"),
@@ -187,32 +214,16 @@ def near_earlier(docs: DataFrame, lines: DataFrame) -> DataFrame:
     # keys of one line alone meet nothing
     best = best.filter("any_first <> any_last")
     met = F.when(F.col("at"), F.col("any_first")).when(itself, F.col("other_first")).otherwise(F.col("self_first"))
-    found = named.join(best, ["key", "at"]).withColumn("met", met).filter("met < first")
-    # each line with the earliest lines it meets, to be verified by their words
-    pairs = found.select("hi", "lo", "first", "met").distinct()
-    return _verified(docs, materialize(pairs, "met"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The lines of ``pairs`` whose words are near to those of the line met; only the lines named are shuffled."""
-    wanted = pairs.select("first").unionAll(pairs.select("met")).distinct().select("first.doc_id", "first.place")
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                want = set(r.places)
-                rows += [(r.doc_id, i, words) for i, words in _lines(r.text) if i in want]
-            yield pd.DataFrame(rows, columns=["doc_id", "place", "words"])
-
-    texts = docs.select("doc_id", "text").join(per_doc, "doc_id").mapInPandas(run, "doc_id long, place int, words array<binary>")
-    texts = materialize(texts, "words").select(F.struct("doc_id", "place").alias("first"), "words")
-    same = pairs.join(texts, "first").join(texts.select(F.col("first").alias("met"), F.col("words").alias("met_words")), "met")
+    found = named.drop("words").join(best, ["key", "at"]).withColumn("met", met).filter("met < first")
+    pairs = found.select("hi", "lo", "met").distinct()
+    # each line with the earliest lines it meets, verified by their words
+    texts = named.filter("kind = 0").select("hi", "lo", "first", "words")
+    other = texts.select(F.col("first").alias("met"), F.col("words").alias("met_words"))
+    same = pairs.join(texts.select("hi", "lo", "words"), ["hi", "lo"]).join(other, "met")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good = [near(list(a), list(b)) for a, b in zip(batch["words"], batch["met_words"], strict=True)]
+            good = [near(a.split(b" "), b.split(b" ")) for a, b in zip(batch["words"], batch["met_words"], strict=True)]
             yield batch.loc[good, ["hi", "lo"]]
 
     return same.select("hi", "lo", "words", "met_words").mapInPandas(check, "hi long, lo long").distinct()
