@@ -76,6 +76,15 @@ def per_worker(key: tuple, build):
     return kept[key]
 
 
+def drop_per_worker(kind: str) -> None:
+    """Forget what earlier tasks have kept in this worker and later ones don't need."""
+    import sys
+
+    kept = getattr(sys.modules.get("_shelfmark_per_worker"), "__dict__", {})
+    for key in [k for k in kept if isinstance(k, tuple) and k[0] == kind]:
+        del kept[key]
+
+
 def bpe_of(path: str) -> Bpe:
     return per_worker(("bpe", path), lambda: Bpe(path))
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bounded_batches, bpe_of, documents, range_cuts, stored, text_groups
+from shelfmark.llm.common import bounded_batches, bpe_of, documents, drop_per_worker, range_cuts, stored, text_groups
 from shelfmark.session import scratch_path
 
 BLOCK = 256
@@ -182,6 +182,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, max_b
     cuts = np.array([c["doc_id"] for c in range_cuts(tokens.select("doc_id"), ["doc_id"], parts) if c["doc_id"] is not None][1:])
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_per_worker("bpe")
         for batch in batches:
             for first in range(0, len(batch), 512):
                 part = batch.iloc[first : first + 512]
@@ -202,6 +203,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, max_b
                 )
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_per_worker("bpe")
         held, size, bucket, start = [], 0, None, 0
 
         def close() -> pd.DataFrame:
@@ -259,6 +261,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         total += r["n"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_per_worker("bpe")
         table = decode_table(bits, canonical_codes(bits))
         for batch in batches:
             for r in batch.itertuples(index=False):
