@@ -40,18 +40,26 @@ SEGMENTS = ((41, 23, 1), (18, 23, 1), (0, 18, 0))
 _STEP = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint as a signed 64-bit integer."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words, in order; none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint as a signed 64-bit integer."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     seen = np.zeros(64, np.int64)
     for i in range(0, n, _STEP):
         raw = hashes[i : i + _STEP].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -111,7 +119,10 @@ def near_groups(docs: DataFrame, *keep: str, order: str = "doc_id") -> DataFrame
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id, nulls last, the first of equal ones."""
+    """``docs`` with one row of each group: the one with the smallest id, nulls last, the first of equal ones.
+
+    Groups are those of op7, by fingerprints of its radius; the pipeline takes ``near_copies``.
+    """
     inside, back = set_apart(docs, "doc_id", "text")
     rows = materialize(inside.withColumn("_row", F.monotonically_increasing_id()), "rows")
     ranked = rows.withColumn("_order", F.struct(F.col("doc_id").isNull().alias("null_last"), "doc_id", "_row"))

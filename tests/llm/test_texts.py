@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from shelfmark.checks import compare
-from shelfmark.llm import line_dedup, lz_fingerprint, quality, simhash, toxicity
+from shelfmark.llm import line_dedup, lz_fingerprint, near_copies, quality, simhash, toxicity
 from shelfmark.llm.queries import ORACLES, QUERIES
 
 from .cases import as_table, empty_docs, odd_docs, odd_rows, prose, with_clashes
@@ -163,6 +163,39 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert simhash.near_dedup(empty_docs(spark)).count() == 0
 
 
+def plain_shingles(text):
+    words = (text or "").split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_link_at_four_fifths(spark):
+    """Texts with a few words replaced go with their origin; those under the similarity stay, also as a bucket's smaller ids."""
+    rnd = random.Random(11)
+    rows, edits = [], (0, 1, 2, 3, 4, 5, 7, 9)
+    for g in range(40):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(160)]
+        for e in edits:
+            own = list(words)
+            for j in rnd.sample(range(len(own)), e):
+                own[j] = f"x{rnd.randrange(10**6)}"
+            rows.append(" ".join(own))
+    rnd.shuffle(rows)
+    sets = [plain_shingles(t) for t in rows]
+    comp = list(range(len(rows)))
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if comp[a] != comp[b]:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+                changed = True
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in near_copies.dedup(docs).collect()} == set(comp)
+    odd = with_clashes(odd_docs(spark))
+    assert near_copies.dedup(odd).columns == odd.columns and near_copies.dedup(empty_docs(spark)).count() == 0
+
+
 # --- quality ---
 
 
