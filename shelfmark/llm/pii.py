@@ -5,12 +5,15 @@ loose generators propose spans that may overlap: bracketed addresses, numbers
 without a plus sign, card-like and address-like digit groups. A gradient-boosted tree
 ensemble scores each proposal by its format and the text around it. It is
 trained on the corpus itself: proposals that a base span confirms against
-those that none does, with the marks that define the base patterns (plus
-sign, at sign) left out of the features, so that the same shapes written
-otherwise score alike. Per kind, the threshold is the lowest score whose
-proposals on the other half of the sample are confirmed to at least
-``PRECISION``; proposals beyond it that touch no base span are added, the best of
-those that overlap each other. The trees are compiled to column expressions:
+those that something speaks against (a failed check, another shape, a letter
+or digit at the edge, the word before, a base span of another kind), with the
+marks that define the base patterns (plus sign, at sign) left out of the
+features, so that the same shapes written otherwise score alike. A proposal
+that no base span touches and nothing speaks against has no label: it is what
+the trees are to find, and takes no part in fit or calibration. Per kind, the
+threshold is the lowest score at which, on the other half of the sample, at
+least ``PRECISION`` of the labelled proposals are confirmed; proposals beyond it
+that touch no base span are added, the best of those that overlap each other. The trees are compiled to column expressions:
 scoring is one pass without shuffle.
 
 The fit uses the proposals of ``FIT_DOCS`` documents (those with a digit or an
@@ -62,6 +65,17 @@ CONTEXT = {
     "card": "card|visa|master|carte|karte|tarjeta|credit",
     "phone": r"phone|\btel|call|fon|mobil|m[oó]vil|fax",
 }
+#: What stands right before or after a number that is no personal one: amounts, orders, versions, keys.
+AGAINST_BEFORE = (
+    r"(?i)(?:\b(?:pay|pays|paid|price|cost|costs|total|sum|amount|order|invoice|version|release|token|key|id|ref|isbn"
+    r"|preis|betrag|summe|rechnung|bestellung|prix|montant|facture|commande|precio|importe|factura|pedido)\b|[$€£¥#=/_])[\s:.#\"']*$"
+)
+AGAINST_AFTER = r"(?i)^\x20?(?:[%€$£¥]|eur\b|usd\b)"
+#: Shapes of other numbers that the phone generator proposes: addresses, dates, amounts.
+OTHER_SHAPES = (
+    r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|(?:19|20)[0-9]{2}[./\x20-][01]?[0-9][./\x20-][0-3]?[0-9]"
+    r"|[0-3]?[0-9][./\x20-][01]?[0-9][./\x20-](?:19|20)[0-9]{2}|[0-9]+\.[0-9]{1,2})$"
+)
 KINDS = list(BASE)
 FEATURES = ["kind", "n_chars", "n_digits", "n_letters", "n_groups", "longest", "first_digit", "brackets", "dots", "blanks", "luhn", "octets", "hint", "joined_before", "joined_after"]
 
@@ -124,6 +138,21 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {kind: kept(kind) for kind in KINDS}
 
 
+def _against(kind: str, m: Column) -> Column:
+    """Whether format or context speak against a proposal."""
+    if kind == "email":
+        return ~m["value"].rlike("[A-Za-z]{2}$")
+    digits = _digits(m["value"])
+    joined = m["before"].rlike(r"[\p{L}\p{N}]$") | m["after"].rlike(r"^[\p{L}\p{N}]")
+    context = m["before"].rlike(AGAINST_BEFORE) | m["after"].rlike(AGAINST_AFTER)
+    own = {
+        "ip": lambda: ~_octets(m["value"]) | m["before"].rlike(r"[0-9]\.$") | m["after"].rlike(r"^\.[0-9]"),
+        "card": lambda: ~F.length(digits).between(12, 19) | ~luhn(digits),
+        "phone": lambda: ~F.length(digits).between(7, 15) | m["value"].rlike(OTHER_SHAPES),
+    }
+    return joined | context | own[kind]()
+
+
 def _flag(c: Column) -> Column:
     return F.when(c, 1.0).otherwise(0.0)
 
@@ -152,7 +181,7 @@ def proposals(text: Column) -> Column:
                 "joined_before": _flag(m["before"].rlike(r"[\p{L}\p{N}.,-]$")),
                 "joined_after": _flag(m["after"].rlike(r"^(?:[\p{L}\p{N}]|[.,-][0-9])")),
             }
-            return F.struct(F.lit(kind).alias("what"), m["start"].alias("start"), m["end"].alias("end"), *(features[f].alias(f) for f in FEATURES))
+            return F.struct(F.lit(kind).alias("what"), m["start"].alias("start"), m["end"].alias("end"), *(features[f].alias(f) for f in FEATURES), _against(kind, m).alias("against"))
 
         return F.transform(matches(text, LOOSE[kind], LOOSE_NEEDED[kind]), described)
 
@@ -163,6 +192,13 @@ def _touches(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def _label(p: Column) -> Column:
+    """1 for a proposal that holds a base span of its kind, 0 for one that something speaks against, else null."""
+    holds = F.exists("_base", lambda b: (b["what"] == p["what"]) & (p["start"] <= b["start"]) & (b["end"] <= p["end"]))
+    own = F.exists("_base", lambda b: (b["what"] == p["what"]) & _touches(b, p))
+    return F.when(holds, 1.0).when(~own & (p["against"] | F.exists("_base", lambda b: _touches(b, p))), 0.0)
+
+
 def _tree(node) -> tuple:
     """A fitted tree as nested (feature, threshold, left, right) or a number."""
     if node.subtreeDepth() == 0:
@@ -211,10 +247,9 @@ def fit(docs: DataFrame) -> Model | None:
     ids = [r["doc_id"] for r in some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).collect()]
     sample = with_candidates(docs.filter(F.col("doc_id").isin(ids)).select("doc_id", "text"))
     each = sample.select("doc_id", "_base", F.explode("_loose").alias("p"))
-    confirmed = F.exists("_base", lambda b: (b["what"] == F.col("p.what")) & _touches(b, F.col("p")))
     order = F.xxhash64("doc_id", "p.start", "p.what")
-    rows = each.select("doc_id", F.col("p.what").alias("what"), *(F.col(f"p.{f}").alias(f) for f in FEATURES), confirmed.cast("double").alias("label"), order.alias("_order"))
-    rows = materialize(rows.orderBy("_order").limit(FIT_ROWS), "proposals")
+    rows = each.select("doc_id", F.col("p.what").alias("what"), *(F.col(f"p.{f}").alias(f) for f in FEATURES), _label(F.col("p")).alias("label"), order.alias("_order"))
+    rows = materialize(rows.filter("label is not null").orderBy("_order").limit(FIT_ROWS), "proposals")
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
     counts = {(r["half"], r["label"]): r["n"] for r in rows.groupBy(half.alias("half"), "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if min(counts.get((0, y), 0) for y in (0.0, 1.0)) < LEAST:
@@ -223,7 +258,7 @@ def fit(docs: DataFrame) -> Model | None:
     fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3).fit(assembled.select("features", "label"))
     trees = [(w, _tree(t._java_obj.rootNode())) for w, t in zip(fitted.treeWeights, fitted.trees, strict=True)]
     model = Model(trees, {})
-    # calibration: per kind and score, how many of the other half's proposals at least as high are confirmed
+    # calibration: per kind and score, how many of the other half's labelled proposals at least as high are confirmed
     row = F.struct(*FEATURES)
     scored = rows.filter(half == 1).select("what", "label", F.round(model.score(row), 2).alias("score"))
     levels = scored.groupBy("what", "score").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()

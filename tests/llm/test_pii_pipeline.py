@@ -78,6 +78,23 @@ def test_trees_add_unconfirmed_forms(spark):
     assert rows[9001] == "" and rows[9000].startswith("phone:")
 
 
+@pytest.mark.parametrize("share", [5, 2])
+def test_forms_without_base_span_are_found_at_any_share(spark, share):
+    """A fifth or half of the numbers without plus sign and of the addresses in brackets are added; amounts and bad hosts are not."""
+    def text(i):
+        plus, at = ("1", " (at) ") if i % share == 0 else ("+1", "@")
+        return f"please call {plus} ({200 + i}) 555-{1000 + i} or write to user{i}{at}mail{i % 7}.example.com now, pay {i}00.{i % 90 + 10} 00 for a{i}@b.{i}"
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(700)], "doc_id long, text string")
+    found = pii.with_spans(docs, pii.fit(docs)).select("doc_id", pii.as_text(pii.F.col("spans")).alias("s")).collect()
+    for r in found:
+        t, spans = text(r["doc_id"]), [x.split(":") for x in r["s"].split(",")]
+        values = [(k, t[int(a) : int(b)]) for k, a, b in spans]
+        assert any(k == "phone" and v.endswith(f"555-{1000 + r['doc_id']}") for k, v in values), values
+        assert any(k == "email" and v.startswith(f"user{r['doc_id']}") for k, v in values), values
+        assert not any("00." in v for _, v in values), values
+
+
 def test_redact(spark):
     docs = with_clashes(odd_docs(spark))
     done = pii.redact(docs)
