@@ -47,16 +47,17 @@ BASE = {
 }
 #: What a text must hold for a base match that can pass its check.
 NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-#: Proposals per kind: wider than the base, with the base's own forms among them.
+#: Proposals per kind: wider than the base, with the base's own forms among them. The phone pattern finds the digit
+#: groups where a number of 7 to 15 digits may begin, with what follows (group 1, then 2 behind it).
 LOOSE = {
     "email": r"[A-Za-z0-9._%+-]++(?:@|\x20?[\[({](?:at|AT)[\])}]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[({](?:dot|DOT)[\])}]\x20?)[A-Za-z0-9-]++)++",
     "ip": r"[0-9]{1,3}+(?:(?:\.|\x20?[\[(]\.[\])]\x20?)[0-9]{1,3}+){3}",
     "card": r"[0-9]{4}+(?:[\x20./-]?[0-9]{2,7}+){2,5}",
-    "phone": r"(?:(?:\+|\b00)[0-9]{1,3}+[\x20.-]?)?(?:\([0-9]{2,5}\)|[0-9]{2,5}+)(?:[\x20./-][0-9]{2,5}+){1,4}",
+    "phone": r"(?<![0-9])\+?\(?[0-9](?=((?:[\x20()./-]{0,3}[0-9]){6,14})(?![0-9])([\s\S]{0,8}))[0-9]*+",
 }
 LOOSE_NEEDED = {
     "email": r"@|[\[({](?:at|AT)[\])}]", "ip": r"[0-9][\x20\[(]*\.[\])\x20]*[0-9]", "card": r"[0-9]{4}(?:[\x20./-]?[0-9]{2}){2}",
-    "phone": r"[0-9]{2}\)?[\x20./-][0-9]{2}",
+    "phone": r"[0-9](?:[\x20()./-]{0,3}[0-9]){6}",
 }
 #: Words near a kind, in the corpus' languages.
 CONTEXT = {
@@ -119,17 +120,41 @@ def matches(text: Column, pattern: str, needed: str) -> Column:
     there = text.contains(needed) if needed == "@" else text.rlike(needed)
     shape = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
     values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    indexed = F.transform(values, lambda v, i: F.struct(v.alias("v"), F.get(gaps, i).alias("a"), F.get(gaps, i + 1).alias("b")))
+    # zipped once: a lambda that looked into the gaps would split the text again for every match
+    zipped = F.filter(F.arrays_zip(values, gaps, F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0)))), lambda z: z["0"].isNotNull())
+    indexed = F.transform(zipped, lambda z: F.struct(z["0"].alias("v"), z["1"].alias("a"), z["2"].alias("b")))
 
     def step(done: Column, m: Column) -> Column:
-        begin = F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0))
+        last = F.get(done, F.size(done) - 1)
+        begin = F.coalesce(last["end"], F.lit(0))
+        before = F.concat(F.coalesce(last["before"], F.lit("")), F.coalesce(last["value"], F.lit("")), m["a"])
         start = begin + F.length(m["a"])
-        row = F.struct(start.alias("start"), (start + F.length(m["v"])).alias("end"), m["v"].alias("value"), F.right(m["a"], F.lit(24)).alias("before"), F.left(m["b"], F.lit(8)).alias("after"))
+        row = F.struct(start.alias("start"), (start + F.length(m["v"])).alias("end"), m["v"].alias("value"), F.right(before, F.lit(24)).alias("before"), F.left(m["b"], F.lit(8)).alias("after"))
         return F.concat(done, F.array(row)).cast(shape)
 
     return F.when(there, F.aggregate(indexed, F.array().cast(shape), step)).otherwise(F.array().cast(shape))
 
 
+def _numbers(text: Column, begun: Column) -> Column:
+    """From every digit group that begins a number (as ``matches`` has it), the spans to each later end of a group with 7 to 15 digits."""
+    behind = (F.regexp_extract_all(text, F.lit(LOOSE["phone"]), F.lit(n)) for n in (1, 2))
+    whole = F.transform(
+        F.filter(F.arrays_zip(begun, *behind), lambda z: z["0"].isNotNull()),
+        lambda z: F.struct(z["0"]["start"].alias("start"), z["0"]["before"].alias("before"), F.concat(F.regexp_extract(z["0"]["value"], r"^\+?\(?[0-9]", 0), z["1"]).alias("full"), z["2"].alias("rest")),
+    )
+
+    def spans(w: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(7), F.length(w["full"])), lambda i: w["full"].substr(i, F.lit(2)).rlike("^[0-9](?![0-9])") & (F.length(_digits(w["full"].substr(F.lit(1), i))) >= 7))
+
+        def span(i: Column) -> Column:
+            after = F.left(F.concat(w["full"].substr(i + 1, F.length(w["full"])), w["rest"]), F.lit(8))
+            return F.struct(w["start"].alias("start"), (w["start"] + i).alias("end"), w["full"].substr(F.lit(1), i).alias("value"), w["before"].alias("before"), after.alias("after"))
+
+        return F.transform(ends, span)
+
+    return F.flatten(F.transform(whole, spans))
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """Per kind the matches of the base pattern that pass its check."""
     def kept(kind: str) -> Column:
@@ -183,7 +208,8 @@ def proposals(text: Column) -> Column:
             }
             return F.struct(F.lit(kind).alias("what"), m["start"].alias("start"), m["end"].alias("end"), *(features[f].alias(f) for f in FEATURES), _against(kind, m).alias("against"))
 
-        return F.transform(matches(text, LOOSE[kind], LOOSE_NEEDED[kind]), described)
+        found = matches(text, LOOSE[kind], LOOSE_NEEDED[kind])
+        return F.transform(_numbers(text, found) if kind == "phone" else found, described)
 
     return F.concat(*(of_kind(i, kind) for i, kind in enumerate(KINDS)))
 
@@ -290,7 +316,7 @@ def with_spans(docs: DataFrame, model: Model | None) -> DataFrame:
         found = found.withColumn("_free", F.filter(scored, passes))
 
         def beaten(p: Column) -> Column:
-            better = lambda q: (q["score"] > p["score"]) | ((q["score"] == p["score"]) & (F.struct(q["start"], q["what"]) < F.struct(p["start"], p["what"])))
+            better = lambda q: (q["score"] > p["score"]) | ((q["score"] == p["score"]) & (F.struct(q["start"], -q["end"], q["what"]) < F.struct(p["start"], -p["end"], p["what"])))
             return F.exists("_free", lambda q: _touches(p, q) & better(q))
 
         added = F.transform(F.filter("_free", lambda p: ~beaten(p)), plain)

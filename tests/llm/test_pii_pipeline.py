@@ -95,6 +95,26 @@ def test_forms_without_base_span_are_found_at_any_share(spark, share):
         assert not any("00." in v for _, v in values), values
 
 
+NUMBERS = ["5551234567", "00491701234567", "0171 1234567", "030/12345678", "030 / 12345678", "(030) 12345678", "0049 (0) 171 1234567", "1 (321) 555-1234", "555-0100", "123456789012345"]
+
+
+def test_phone_proposals_hold_whole_numbers(spark):
+    """Every form is proposed from its first to its last digit, also before another number; no span starts or ends inside digits."""
+    rows = [(i, t) for i, n in enumerate(NUMBERS) for t in (n, f"ring {n}, or so", f"at {n} 2024 1231", f"on 2024 12 31 {n}")]
+    rows += [(99, "1234567890123456 123456"), (99, "12 " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.with_candidates(docs).collect():
+        spans = [(p["start"], p["end"]) for p in r["_loose"] if p["what"] == "phone"]
+        t = r["text"]
+        for a, b in spans:
+            assert not t[max(0, a - 1) : a].isdigit() and not t[b : b + 1].isdigit()
+            assert 7 <= sum(c.isdigit() for c in t[a:b]) <= 15
+        if r["doc_id"] < 99:
+            number = NUMBERS[r["doc_id"]]
+            start = t.index(number)
+            assert (start, start + len(number)) in spans, (t, spans)
+
+
 def test_redact(spark):
     docs = with_clashes(odd_docs(spark))
     done = pii.redact(docs)
