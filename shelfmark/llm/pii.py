@@ -11,12 +11,12 @@ marks that define the base patterns (plus sign, at sign) left out of the
 features, so that the same shapes written otherwise score alike. A proposal
 that no base span touches and nothing speaks against has no label: it is what
 the trees are to find, and takes no part in fit or calibration. Per kind, the
-threshold is the lowest score at which, on the other half of the sample, at
-least ``PRECISION`` of the labelled proposals are confirmed; proposals beyond it
+threshold is the lowest score at which, in all documents that the trees were
+not fitted on, at least ``PRECISION`` of the labelled proposals are confirmed; proposals beyond it
 that touch no base span are added, the best of those that overlap each other. The trees are compiled to column expressions:
 scoring is one pass without shuffle.
 
-The fit uses the proposals of ``FIT_DOCS`` documents (those with a digit or an
+The trees are fitted on half of ``FIT_DOCS`` documents (those with a digit or an
 at sign, by hash of doc_id) at most. With fewer than ``LEAST`` examples of either class
 nothing is added to the base. Null texts are empty. Repeated rows get equal
 spans; extra columns are kept by ``redact``; an empty table gives an empty one.
@@ -265,28 +265,32 @@ def with_candidates(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """Trees and thresholds from a bounded sample of the documents; None if there is too little to learn from."""
+    """Trees from a bounded sample of the documents, thresholds from all others; None if there is too little to learn from."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     some = docs.filter(F.col("text").rlike("[0-9@]")).select("doc_id").distinct()
     ids = [r["doc_id"] for r in some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).collect()]
-    sample = with_candidates(docs.filter(F.col("doc_id").isin(ids)).select("doc_id", "text"))
-    each = sample.select("doc_id", "_base", F.explode("_loose").alias("p"))
-    order = F.xxhash64("doc_id", "p.start", "p.what")
-    rows = each.select("doc_id", F.col("p.what").alias("what"), *(F.col(f"p.{f}").alias(f) for f in FEATURES), _label(F.col("p")).alias("label"), order.alias("_order"))
-    rows = materialize(rows.filter("label is not null").orderBy("_order").limit(FIT_ROWS), "proposals")
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
-    counts = {(r["half"], r["label"]): r["n"] for r in rows.groupBy(half.alias("half"), "label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if min(counts.get((0, y), 0) for y in (0.0, 1.0)) < LEAST:
+    fitted_on = F.coalesce(F.col("doc_id").isin(ids) & (half == 0), F.lit(False))
+
+    def labelled(some: DataFrame) -> DataFrame:
+        each = with_candidates(some.select("doc_id", "text")).select("doc_id", "_base", F.explode("_loose").alias("p"))
+        rows = each.select("doc_id", F.col("p.what").alias("what"), F.col("p.start").alias("start"), *(F.col(f"p.{f}").alias(f) for f in FEATURES), _label(F.col("p")).alias("label"))
+        return rows.filter("label is not null")
+
+    rows = labelled(docs.filter(fitted_on)).orderBy(F.xxhash64("doc_id", "start", "what")).limit(FIT_ROWS)
+    rows = materialize(rows, "proposals")
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if min(counts.get(y, 0) for y in (0.0, 1.0)) < LEAST:
         return None
-    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.filter(half == 0))
+    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3).fit(assembled.select("features", "label"))
     trees = [(w, _tree(t._java_obj.rootNode())) for w, t in zip(fitted.treeWeights, fitted.trees, strict=True)]
     model = Model(trees, {})
-    # calibration: per kind and score, how many of the other half's labelled proposals at least as high are confirmed
+    # calibration: per kind and score, how many labelled proposals at least as high are confirmed, in all documents the trees have not seen
     row = F.struct(*FEATURES)
-    scored = rows.filter(half == 1).select("what", "label", F.round(model.score(row), 2).alias("score"))
+    scored = labelled(docs.filter(F.col("text").rlike(r"[0-9@]|[\[({](?:at|AT)[\])}]") & ~fitted_on)).select("what", "label", F.round(model.score(row), 2).alias("score"))
     levels = scored.groupBy("what", "score").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()
     for kind in KINDS:
         good = total = 0

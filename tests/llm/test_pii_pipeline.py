@@ -115,6 +115,14 @@ def test_phone_proposals_hold_whole_numbers(spark):
             assert (start, start + len(number)) in spans, (t, spans)
 
 
+def test_thresholds_take_all_documents(spark):
+    """A kind that few documents hold gets its threshold from all of them, whatever the sample of the trees."""
+    rows = [(i, f"call +1 ({200 + i % 700}) 555-{1000 + i} and pay {i}00.10 00" + (f" host {i % 200}.2.3.{i % 250}" if i % 100 == 0 else "")) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs)
+    assert model is not None and {"phone", "ip"} <= set(model.thresholds)
+
+
 def test_redact(spark):
     docs = with_clashes(odd_docs(spark))
     done = pii.redact(docs)
