@@ -317,17 +317,14 @@ def with_spans(docs: DataFrame, model: Model | None) -> DataFrame:
 
         free = F.filter("_loose", lambda p: ~F.exists("_base", lambda b: _touches(p, b)))
         scored = F.transform(free, lambda p: F.struct(p["what"].alias("what"), p["start"].alias("start"), p["end"].alias("end"), model.score(p).alias("score")))
-        found = found.withColumn("_free", F.filter(scored, passes))
-
-        def beaten(p: Column) -> Column:
-            better = lambda q: (q["score"] > p["score"]) | ((q["score"] == p["score"]) & (F.struct(q["start"], -q["end"], q["what"]) < F.struct(p["start"], -p["end"], p["what"])))
-            return F.exists("_free", lambda q: _touches(p, q) & better(q))
-
-        added = F.transform(F.filter("_free", lambda p: ~beaten(p)), plain)
+        best_first = F.transform(F.filter(scored, passes), lambda p: F.struct((-p["score"]).alias("order"), p["start"].alias("start"), (-p["end"]).alias("back"), p["what"].alias("what"), p["end"].alias("end")))
+        ordered = F.array_sort(best_first)
+        # greedily: a span stays if it touches none that stays before it
+        added = F.transform(F.aggregate(ordered, F.slice(ordered, 1, 0), lambda kept, p: F.when(F.exists(kept, lambda q: _touches(p, q)), kept).otherwise(F.concat(kept, F.array(p)))), plain)
     rank = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
     keyed = F.transform(F.concat("_base", added), lambda p: F.struct(rank[p["what"]].alias("rank"), p["start"].alias("start"), p["end"].alias("end"), p["what"].alias("what")))
     ordered = F.transform(F.array_sort(keyed), plain)
-    return found.withColumn("base_spans", F.col("_base")).withColumn("spans", ordered).drop("_base", "_loose", "_free")
+    return found.withColumn("base_spans", F.col("_base")).withColumn("spans", ordered).drop("_base", "_loose")
 
 
 def as_text(spans: Column) -> Column:

@@ -123,6 +123,20 @@ def test_thresholds_take_all_documents(spark):
     assert model is not None and {"phone", "ip"} <= set(model.thresholds)
 
 
+def test_spans_next_to_a_dropped_one_stay(spark):
+    """A touches B, B touches C, C scores best: B goes, A stays."""
+    row = dict.fromkeys(pii.FEATURES, 0.0)
+    at = {"a": (0, 10, 1.0), "b": (8, 20, 2.0), "c": (18, 30, 3.0)}
+    loose = [pii.F.struct(pii.F.lit("phone").alias("what"), pii.F.lit(x).alias("start"), pii.F.lit(y).alias("end"), *(pii.F.lit(n if f == "n_chars" else v).alias(f) for f, v in row.items())) for x, y, n in at.values()]
+    none = pii.F.array().cast("array<struct<what:string,start:int,end:int>>")
+    model = pii.Model([(1.0, ("n_chars", 1.5, (1.0,), ("n_chars", 2.5, (2.0,), (3.0,))))], {"phone": 0.5})
+    docs = spark.range(1).select(none.alias("_base"), pii.F.array(*loose).alias("_loose"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pii, "with_candidates", lambda df: df)
+        found = pii.with_spans(docs, model).collect()[0]["spans"]
+    assert [(s["start"], s["end"]) for s in found] == [(0, 10), (18, 30)]
+
+
 def test_redact(spark):
     docs = with_clashes(odd_docs(spark))
     done = pii.redact(docs)
