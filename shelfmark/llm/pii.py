@@ -275,7 +275,8 @@ def fit(docs: DataFrame) -> Model | None:
     fitted_on = F.coalesce(F.col("doc_id").isin(ids) & (half == 0), F.lit(False))
 
     def labelled(some: DataFrame) -> DataFrame:
-        each = with_candidates(some.select("doc_id", "text")).select("doc_id", "_base", F.explode("_loose").alias("p"))
+        # outer: a plain explode gets a filter on the size of the array below it, which builds the proposals again
+        each = with_candidates(some.select("doc_id", "text")).select("doc_id", "_base", F.explode_outer("_loose").alias("p"))
         rows = each.select("doc_id", F.col("p.what").alias("what"), F.col("p.start").alias("start"), *(F.col(f"p.{f}").alias(f) for f in FEATURES), _label(F.col("p")).alias("label"))
         return rows.filter("label is not null")
 
