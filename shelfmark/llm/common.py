@@ -44,11 +44,6 @@ def range_cuts(keys: DataFrame, order: Sequence, parts: int) -> list:
     return [r["_first"] for r in firsts.orderBy("_part").collect()]
 
 
-def splits_for(df: DataFrame, text_bytes: int, per_part: int = 32 << 20) -> int:
-    """Partitions for ``text_bytes`` of data, so that each holds about ``per_part`` bytes."""
-    return max(1, -(-text_bytes // per_part))
-
-
 def crc32_rows(flat: np.ndarray, ends: np.ndarray) -> list[int]:
     """crc32 of every run of little-endian unsigned 32-bit integers in ``flat``, runs ending at ``ends``."""
     import zlib
