@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bounded_batches, documents, set_apart, text_groups
+from shelfmark.llm.common import bounded_batches, documents, set_apart, stored, text_groups
 from shelfmark.operators.components import cluster_labels
 from shelfmark.session import materialize
 
@@ -67,12 +67,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * seen > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+def fingerprints(docs: DataFrame, *keep: str, shingle: int = SHINGLE) -> DataFrame:
     """``keep`` columns and ``fp`` of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = [fingerprint(t) for _, group in text_groups(batch["text"].tolist()) for t in group]
+            fps = [fingerprint(t, shingle) for _, group in text_groups(batch["text"].tolist()) for t in group]
             yield batch[list(keep)].assign(fp=np.array(fps, np.int64))
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "fp long"])
@@ -112,21 +112,22 @@ def components(prints: DataFrame, order: str = "doc_id") -> DataFrame:
     return named.join(firsts, "cluster").select("fp", "component_id")
 
 
-def near_groups(docs: DataFrame, *keep: str, order: str = "doc_id") -> DataFrame:
+def near_groups(docs: DataFrame, *keep: str, order: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """``keep`` columns, ``fp`` and ``component_id`` of every row."""
-    prints = materialize(fingerprints(docs, *dict.fromkeys([*keep, order])), "prints")
+    prints = materialize(fingerprints(docs, *dict.fromkeys([*keep, order]), shingle=shingle), "prints")
     return prints.join(components(prints, order), "fp")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest id, nulls last, the first of equal ones.
 
-    Groups are those of op7, by fingerprints of its radius; the pipeline takes ``near_copies``.
+    Groups are those of op7: fingerprints of shingles of ``shingle`` words,
+    linked at ``RADIUS`` or fewer differing bits.
     """
     inside, back = set_apart(docs, "doc_id", "text")
-    rows = materialize(inside.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = stored(inside.withColumn("_row", F.monotonically_increasing_id()), "rows")
     ranked = rows.withColumn("_order", F.struct(F.col("doc_id").isNull().alias("null_last"), "doc_id", "_row"))
-    kept = near_groups(ranked, "_row", order="_order").filter("_order = component_id").select("_row")
+    kept = near_groups(ranked, "_row", order="_order", shingle=shingle).filter("_order = component_id").select("_row")
     return back(rows.join(kept, "_row", "left_semi"))
 
 
