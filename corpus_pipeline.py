@@ -1,4 +1,4 @@
-"""From raw documents to packed sequences: quality, lines, near copies, personal data, packing.
+"""From raw documents to packed sequences: quality, lines, SimHash near copies, personal data, packing.
 
 Each stage takes what the one before kept and is written and read again.
 ``run`` applies all of them to the documents table. There is no SQL for the
@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import line_dedup, near_copies, packing, pii, quality
+from shelfmark.llm import line_dedup, packing, pii, quality, simhash
 from shelfmark.llm.common import bounded_batches
 from shelfmark.session import scratch_path
 
@@ -38,9 +38,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group whose fingerprints link: four-word shingles, 4 bits at most."""
     bounded_batches(spark)
-    return near_copies.dedup(docs)
+    return simhash.near_dedup(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", keep_good),
     ("line dedup", drop_lines),
-    ("near-copy dedup", drop_copies),
+    ("SimHash near-dedup", drop_copies),
     ("personal data", redact),
     ("best-fit packing", pack),
 ]
