@@ -19,23 +19,22 @@ class DedupRun:
 
 
 def run_dedup(
-    files: DataFrame,
-    settings: Settings = Settings(),
-    at_scale: bool = False,
-    judge: Scorer | None = None,
+    files: DataFrame, settings: Settings = Settings(), judge: Scorer | None = None, sketch: bool = False
 ) -> DedupRun:
     """Hash and version tiers over all files, near duplicates over the rest.
 
-    ``files``: inventory with ``text``. ``at_scale`` takes the sketch search;
-    ``judge`` has the last word on its pairs.
+    ``files``: inventory with ``text``. ``judge`` has the last word on near
+    duplicates, asked until every file is settled. ``sketch`` takes MinHash
+    bands instead of the exact search.
     """
     exact = dedup.hash_duplicates(files)
     versions = dedup.version_duplicates(files)
     cheap = materialize(exact.unionByName(versions), "members")
     rest = filters.ungrouped_files(files, cheap.select("path").distinct())
-    search = neardup.near_duplicates_lsh if at_scale else neardup.near_duplicates
-    losers = search(rest, ("parent_folder", "extension"), settings)
+    block = ("parent_folder", "extension")
     if judge is not None:
-        losers = neardup.judged(losers, rest, judge, settings)
+        losers = neardup.judged_duplicates(rest, judge, block, settings)
+    else:
+        losers = (neardup.near_duplicates_lsh if sketch else neardup.near_duplicates)(rest, block, settings)
     members = materialize(cheap.unionByName(dedup.near_members(losers, files)), "members")
     return DedupRun(members, dedup.delete_plan(members))
