@@ -16,6 +16,8 @@ import unicodedata
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _NONE = np.int32(2**31 - 1)
 #: White space of the tokenizers' patterns (fixed values).
@@ -23,6 +25,9 @@ _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _ODD_WS = "\t\x0b\x0c\r\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 #: Python takes these for white space, the patterns do not.
 _NOT_WS = "\x1c\x1d\x1e\x1f"
+#: Texts whose white space is more than single blanks and line feeds between words, as Arrow writes patterns.
+_OTHER_WS = r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNEVEN = _OTHER_WS + r"|[ \n][ \n]|^[ \n]|[ \n]$"
 #: Stands between chunks that are cut into words together; chunks that hold it go alone.
 _SEP = "\ufdd0"
 _SEP_BYTES = _SEP.encode()
@@ -429,26 +434,67 @@ class Bpe:
         self.pool, self.spans, self.n_pool = [self.pool[0][take]], [np.stack([ends - lens, lens])], len(take)
         self.hits = self.hits[keep] // 2
 
+    def _split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(place of each chunk in the list of distinct ones, chunks per text, distinct chunks).
+
+        Arrow cuts the texts and finds the distinct chunks; only those become
+        Python strings. Texts with uncommon white space are cut one by one.
+        """
+        column = pa.array(texts, pa.large_string())
+        odd = np.asarray(pc.match_substring_regex(column, _OTHER_WS if self.suffix else _UNEVEN))
+        lists = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(odd), "", column), "\n", " " if self.suffix else " \n"), " ")
+        counts = np.diff(lists.offsets.to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        at = np.asarray(coded.indices).astype(np.int64)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        nothing = names.index("") if "" in names else -1
+        if self.suffix:
+            keep = at != nothing
+        else:
+            keep = np.ones(len(at), bool)
+            keep[np.repeat(odd | np.asarray(pc.equal(column, "")), counts)] = False
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            first = first[keep[first]]
+            # the first part of a text has no blank before it
+            heads, place = np.unique(at[first], return_inverse=True)
+            at[first] = len(names) + place
+            names += ["\n\n" + names[i] for i in heads.tolist()]
+        at, owner = at[keep], owner[keep]
+        counts = np.bincount(owner, minlength=len(texts)).astype(np.int64)
+        if odd.any():
+            some = np.flatnonzero(odd)
+            parts = [self.chunks(texts[i]) for i in some.tolist()]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            more = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(parts)), len(names))}
+            values = np.fromiter((more[c] for p in parts for c in p), np.int64, int(sizes.sum()))
+            at = np.insert(at, np.repeat(np.cumsum(counts)[some], sizes), values)
+            counts[some] = sizes
+            names += list(more)
+        return at, counts, names
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each."""
         if not self.cache:
             self.forget()
         elif len(self.cache) > self.cache_chunks:
             self._prune()
-        parts = [self.chunks(t) for t in texts]
-        n_parts = np.fromiter(map(len, parts), np.int64, len(parts))
-        every = list(chain.from_iterable(parts))
-        new = set(every).difference(self.cache)
+        at, n_parts, names = self._split(texts)
+        if not len(at):
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        used, at = np.unique(at, return_inverse=True)
+        names = [names[i] for i in used.tolist()]
+        new = set(names).difference(self.cache)
         if new:
             self._learn(list(new))
             if len(self.pool) > 1:
                 self.pool, self.spans = [np.concatenate(self.pool)], [np.concatenate(self.spans, axis=1)]
-        if not every:
-            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        at = np.fromiter(map(self.cache.__getitem__, every), np.int64, len(every))
-        seen = np.bincount(at, minlength=len(self.cache))
+        known = np.fromiter(map(self.cache.__getitem__, names), np.int64, len(names))
+        seen = np.zeros(len(self.cache), np.int64)
+        np.add.at(seen, known, np.bincount(at, minlength=len(names)))
         seen[: len(self.hits)] += self.hits
         self.hits = seen
+        at = known[at]
         starts, lens = self.spans[0][0][at], self.spans[0][1][at]
         ends = np.cumsum(lens)
         take = np.arange(ends[-1]) + np.repeat(starts - (ends - lens), lens)
