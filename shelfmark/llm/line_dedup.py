@@ -29,6 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,60 +42,78 @@ from shelfmark.session import materialize
 MIN_WORDS = 8
 BITMAP_BITS = 27
 PARTS = 3
+#: Lines whose keys a task makes in one step.
+STEP_LINES = 1 << 15
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def _lines(text: str) -> Iterator[tuple[int, list[bytes]]]:
-    """(place, words) of the lines that have words."""
-    for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-        words = line.split()
-        if words:
-            yield i, words
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _identity(words: list[bytes]) -> tuple[int, int, bytes]:
-    joined = b" ".join(words)
-    h = xxhash.xxh3_128_intdigest(joined)
-    return _signed(h >> 64), _signed(h & (1 << 64) - 1), joined
-
-
-def rest_keys(words: list[bytes], joined: bytes) -> list[tuple[int, int, int, int]]:
-    """(key, role, first, stop) of the line without each of its parts.
-
-    In role 0 the line stands for its own length, in role 1 for the longer one
-    of two lines: it then leaves out one word more. ``first`` to ``stop`` are the
-    places where the edit may be.
-    """
-    n, out = len(words), []
-    at = [0]  # where each word begins
-    for w in words:
-        at.append(at[-1] + len(w) + 1)
-    for role, size in ((0, n), (1, n - 1)):
-        if size < MIN_WORDS:
-            continue
-        for part in range(PARTS):
-            first, stop = size * part // PARTS, size * (part + 1) // PARTS + role
-            rest = joined[: at[first]] + joined[at[stop] :] if stop < n else joined[: at[first]]
-            out.append((_signed(xxhash.xxh64_intdigest(rest, size * PARTS + part)), role, first, stop))
-    return out
-
-
-def variant_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(keys with position, keys without, key of the whole line) of the line without each of its words."""
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    up = np.full(len(h) + 1, _BASE, np.uint64)
-    up[0] = 1
-    terms = h * np.cumprod(up)[:-1]
-    before = np.cumsum(terms) - terms
-    whole = (before[-1:] + terms[-1:])[0]
-    free = before + (whole - before - terms) * _INVERSE
-    placed = (free ^ (free >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.arange(len(h), dtype=np.uint64)
-    return placed.view(np.int64), free.view(np.int64), _signed(int(whole))
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return x ^ (x >> np.uint64(32))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+class Lines:
+    """Lines as polynomials of their words' hashes."""
+
+    def __init__(self, words: pa.Array):
+        """``words``: every line's words, joined by blanks."""
+        lists = pc.split_pattern(words, b" ")
+        self.n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), np.uint64, len(distinct))
+        h = hashed[np.asarray(coded.indices)]
+        self.start = np.cumsum(self.n) - self.n
+        inner = np.arange(len(h)) - np.repeat(self.start, self.n)
+        top = int(self.n.max(initial=0))
+        self.terms = h * _powers(_BASE, top)[inner]
+        self.down = _powers(_INVERSE, top)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.terms)))
+        self.whole = self.sums[self.start + self.n] - self.sums[self.start]
+
+    def rests(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(role, lines, keys, first, stop): the lines without each of their parts.
+
+        In role 0 the line stands for its own length, in role 1 for the longer
+        one of two lines: it then leaves out one word more. ``first`` to
+        ``stop`` are the places where the edit may be.
+        """
+        for role in (0, 1):
+            size = self.n - role
+            lines = np.flatnonzero(size >= MIN_WORDS)
+            size, start = size[lines], self.start[lines]
+            for part in range(PARTS):
+                first, stop = size * part // PARTS, size * (part + 1) // PARTS + role
+                before = self.sums[start + first] - self.sums[start]
+                after = self.whole[lines] - (self.sums[start + stop] - self.sums[start])
+                rest = before + after * self.down[stop - first]
+                seed = (size * PARTS + part + 1).astype(np.uint64) * _BASE
+                yield role, lines, _mixed(rest + seed).view(np.int64), first, stop
+
+    def variants(self, lines: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, key with position, key without) of the lines without each of the words from ``first`` to ``stop``."""
+        many = stop - first
+        line = np.repeat(lines, many)
+        place = np.arange(len(line)) - np.repeat(np.cumsum(many) - many - first, many)
+        at = self.start[line] + place
+        before = self.sums[at] - self.sums[self.start[line]]
+        free = before + (self.whole[line] - before - self.terms[at]) * _INVERSE
+        return line, (_mixed(free) + place.astype(np.uint64)).view(np.int64), free.view(np.int64)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Lines]]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, STEP_LINES):
+            part = batch.slice(i, STEP_LINES)
+            yield part, Lines(part["words"])
 
 
 def near(a: list[bytes], b: list[bytes]) -> bool:
@@ -107,42 +127,43 @@ def near(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per distinct line: its 128-bit hash and its first occurrence."""
+    """One row per distinct line: its 128-bit hash, its first occurrence and its words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[tuple[int, int], tuple] = {}
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
-                for place, words in _lines(text):
-                    line = _identity(words)[:2]
-                    known = rows.get(line)
-                    if known is None or (doc_id, place) < known:
-                        rows[line] = (doc_id, place)
-            yield pd.DataFrame([(*k, *v) for k, v in rows.items()], columns=["hi", "lo", "doc_id", "place"])
-
-    each = docs.select("doc_id", "text").mapInPandas(run, "hi long, lo long, doc_id long, place int")
-    return each.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-
-
-def shared_keys(docs: DataFrame) -> np.ndarray:
+            lists = pc.split_pattern(batch["text"].cast(pa.large_binary()), b"\n")
+            counts = np.diff(lists.offsets.to_numpy())
+            coded = lists.flatten().dictionary_encode()
+            code = np.asarray(coded.indices)
+            doc = np.repeat(np.asarray(batch["doc_id"]), counts)
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+            order = np.lexsort((place, doc))
+            first = order[np.unique(code[order], return_index=True)[1]]
+            # lines that differ in white space alone meet in the aggregation
+            words = [line.split() for line in coded.dictionary.to_pylist()]
+            some = np.array([bool(w) for w in words], bool)
+            joined = [b" ".join(w) for w in words if w]
+            raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, joined)), ">i8").reshape(-1, 2).astype(np.int64)
+            first = first[some]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array(doc[first]), pa.array(place[first].astype(np.int32)), pa.array(joined, pa.binary())],
+                ["hi", "lo", "doc_id", "place", "words"],
+            )
+
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "hi long, lo long, doc_id long, place int, words binary")
+    return each.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.min("words").alias("words"))
+
+
+def shared_keys(lines: DataFrame) -> np.ndarray:
     """Bitmap of the rest keys that several different lines have."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen, keys, lines = set(), [], []
-            for text in batch["text"]:
-                for _, words in _lines(text):
-                    if len(words) < MIN_WORDS:
-                        continue
-                    hi, lo, joined = _identity(words)
-                    if (hi, lo) not in seen:
-                        seen.add((hi, lo))
-                        found = [k[0] for k in rest_keys(words, joined)]
-                        keys += found
-                        lines += [lo] * len(found)
-            yield pd.DataFrame({"key": np.array(keys, np.int64), "line": np.array(lines, np.int64)})
-
-    keys = docs.select("text").mapInPandas(run, "key long, line long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, table in _slices(batches):
+            lo = np.asarray(part["lo"])
+            found = [(keys, lo[at]) for _, at, keys, _, _ in table.rests()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], ["key", "line"])
+
+    keys = lines.select("lo", "words").mapInArrow(run, "key long, line long")
     shared = keys.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b")
     slot = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1
     parts = shared.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(
@@ -155,55 +176,36 @@ def shared_keys(docs: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def near_earlier(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def near_earlier(lines: DataFrame) -> DataFrame:
     """(hi, lo): distinct lines with a near line whose first occurrence is earlier."""
-    marks = docs.sparkSession.sparkContext.broadcast(shared_keys(docs))
+    marks = lines.sparkSession.sparkContext.broadcast(shared_keys(lines))
+    columns = ["hi", "lo", "doc_id", "place"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, mask = marks.value, (1 << BITMAP_BITS) - 1
-        seen: set[tuple[int, int]] = set()
-        found: list[tuple] = []
-        size = 0
-
-        def close() -> pd.DataFrame:
-            n = [len(f[0]) for f in found]
-            kinds, keys = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        for part, table in _slices(batches):
+            kinds, keys, owners = [], [], []
+            for role, at, rest, first, stop in table.rests():
+                marked = np.flatnonzero(bitmap[(rest & mask) >> 3] >> (rest & 7).astype(np.uint8) & 1)
+                line, placed, free = table.variants(at[marked], first[marked], stop[marked])
+                # kinds: 0 the line itself, 1 a variant to meet a line itself, 2 a variant at its position
+                kinds.append(np.full(len(line), 1 if role else 2, np.int32))
+                keys.append(free if role else placed)
+                owners.append(line)
+            itself = np.unique(np.concatenate(owners))
+            kinds.append(np.zeros(len(itself), np.int32))
+            keys.append(table.whole[itself].view(np.int64))
+            owner = np.concatenate([*owners, itself])
+            kind = np.concatenate(kinds)
             # the words travel once per line, with the line itself
-            words = np.where(kinds == 0, np.repeat(np.array([f[4] for f in found], object), n), None)
-            return pd.DataFrame({"kind": kinds, "key": keys, "hi": np.repeat([f[2] for f in found], n), "lo": np.repeat([f[3] for f in found], n), "words": words})
-
-        for batch in batches:
-            for text in batch["text"]:
-                for _, words in _lines(text):
-                    if len(words) < MIN_WORDS:
-                        continue
-                    hi, lo, joined = _identity(words)
-                    if (hi, lo) in seen:
-                        continue
-                    shared = [k for k in rest_keys(words, joined) if bitmap[(k[0] & mask) >> 3] >> (k[0] & 7) & 1]
-                    if not shared:
-                        continue
-                    seen.add((hi, lo))
-                    placed, free, whole = variant_keys(words)
-                    # kinds: 0 the line itself, 1 a variant to meet a line itself, 2 a variant at its position
-                    kinds, keys = [np.zeros(1, np.int32)], [np.array([whole])]
-                    for _, role, first, stop in shared:
-                        kinds.append(np.full(stop - first, 1 if role else 2, np.int32))
-                        keys.append((free if role else placed)[first:stop])
-                    found.append((np.concatenate(kinds), np.concatenate(keys), hi, lo, joined))
-                    size += len(found[-1][0])
-                    if size > 1 << 17:
-                        yield close()
-                        found, size = [], 0
-            if len(seen) > 1 << 18:  # repeated lines only cost their variants again
-                seen.clear()
-        if found:
-            yield close()
-
-    emitted = docs.select("text").mapInPandas(run, "kind int, key long, hi long, lo long, words binary")
-    # a line in many documents emits the same rows in many tasks
-    keys = emitted.groupBy("hi", "lo", "kind", "key").agg(F.min("words").alias("words"))
-    named = materialize(keys.join(lines, ["hi", "lo"]).withColumn("at", F.col("kind") == 2), "variants")
+            words = part["words"].take(pa.array(owner, mask=kind != 0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kind), pa.array(np.concatenate(keys)), *(part[c].take(pa.array(owner)) for c in columns), words], ["kind", "key", *columns, "words"]
+            )
+
+    emitted = lines.select("hi", "lo", "first.doc_id", "first.place", "words").mapInArrow(run, "kind int, key long, hi long, lo long, doc_id long, place int, words binary")
+    named = emitted.select("key", (F.col("kind") == 2).alias("at"), "kind", "hi", "lo", F.struct("doc_id", "place").alias("first"), "words")
+    named = materialize(named, "variants")
     itself = F.col("kind") == 0
     best = named.groupBy("key", "at").agg(
         F.min("first").alias("any_first"),
@@ -239,7 +241,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with new texts, and ``n_lines`` and ``n_dropped`` of each."""
     known = docs.filter("doc_id is not null and text is not null")
     lines = materialize(line_table(known), "lines")
-    kept = lines.join(near_earlier(known, lines), ["hi", "lo"], "left_anti").select("first.doc_id", "first.place")
+    kept = lines.join(near_earlier(lines), ["hi", "lo"], "left_anti").select("first.doc_id", "first.place")
     per_doc = kept.groupBy("doc_id").agg(F.collect_list("place").alias("_places"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     counts = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
