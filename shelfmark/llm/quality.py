@@ -5,10 +5,12 @@ words in repeated three-word windows. Base rules reject texts of fewer than 50
 words or with over half their words repeated. For the others, rates of the
 measures go into KLL quantile sketches per language and source; sketches of
 small groups are merged into their language's and, if that is small too, into
-that of all texts. A document is rejected where a rate lies beyond the fence
-of its group: the outer quartile and ``REACH`` times the spread of the
-quartiles, and a slack under which nothing is remarkable, so that groups of
-uniform texts lose nothing.
+that of all texts. A document is rejected where a rate lies beyond the fence of
+its group: a high (or low) quantile, and from there ``REACH`` times its distance
+from the median. No fence is a number of ours; what is set is the quantile that
+counts as usual for a rate. A share of counted things must also exceed the fence
+by more than ``REACH`` standard deviations of such a count, so that a short text
+is not rejected for one symbol where most texts have none.
 
 Null texts have no words and fail the base rules. Null languages and sources
 are groups of their own. Repeated rows get equal verdicts, an empty table gives
@@ -32,13 +34,15 @@ MIN_WORDS = 50
 REACH = 3.0
 #: Texts that a group's own sketch needs.
 GROUP_ROWS = 200
-#: rate -> (numerator, denominator, slack above the upper fence, slack below the lower one or None)
+#: rate -> (numerator, denominator, quantile that is usual on the high side, and on the low side or None)
 RATES: dict[str, tuple[str, str, float, float | None]] = {
-    "symbol_rate": ("n_symbols", "word_chars", 0.08, None),
-    "repeated_line_rate": ("n_dup_lines", "n_lines", 0.4, None),
-    "repeated_word_rate": ("n_repeat_words", "n_words", 0.25, None),
-    "word_length": ("word_chars", "n_words", 2.0, 2.0),
+    "symbol_rate": ("n_symbols", "word_chars", 0.9, None),
+    "repeated_line_rate": ("n_dup_lines", "n_lines", 0.99, None),
+    "repeated_word_rate": ("n_repeat_words", "n_words", 0.99, None),
+    "word_length": ("word_chars", "n_words", 0.95, 0.05),
 }
+#: Rates whose numerator counts some of the things that the denominator counts.
+SHARES = ("symbol_rate", "repeated_line_rate", "repeated_word_rate")
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -111,24 +115,32 @@ def thresholds(measured: DataFrame) -> DataFrame:
     whole = over_all.first()  # a few sketches of bounded size
     chosen = own.join(per_lang, F.col("lang").eqNullSafe(F.col("_lang")))
     fences = []
-    for name, (_, _, above, below) in RATES.items():
+    for name, (_, _, upper, lower) in RATES.items():
         everywhere = F.lit(bytes(whole[f"__{name}"])) if whole[f"__{name}"] is not None else F.lit(None).cast("binary")
         sketch = F.when(F.col("n") >= GROUP_ROWS, F.col(name)).when(F.col("_n") >= GROUP_ROWS, F.col(f"_{name}")).otherwise(everywhere)
-        low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        spread = REACH * (high - low)
-        fences.append((high + spread + above).alias(f"{name}_high"))
-        fences.append((low - spread - below if below is not None else F.lit(None).cast("double")).alias(f"{name}_low"))
+
+        def quantile(at: float, sketch: Column = sketch) -> Column:
+            return F.kll_sketch_get_quantile_double(sketch, F.lit(at))
+
+        middle = quantile(0.5)
+        fences.append((quantile(upper) + REACH * (quantile(upper) - middle)).alias(f"{name}_high"))
+        low = F.lit(None).cast("double") if lower is None else quantile(lower) - REACH * (middle - quantile(lower))
+        fences.append(low.alias(f"{name}_low"))
     return chosen.select("lang", "source", *fences)
 
 
 def verdicts(measured: DataFrame) -> DataFrame:
     """``measured`` with ``base_failed`` and ``kept``."""
-    fences = thresholds(measured).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    # written first: its size is known, so that Spark need not shuffle the measured rows for a few fences
+    fences = materialize(thresholds(measured).withColumnsRenamed({"lang": "_lang", "source": "_source"}), "fences")
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     beyond = F.lit(False)
-    for name in RATES:
-        rate = _rate(name)
-        beyond = beyond | F.coalesce(rate > F.col(f"{name}_high"), F.lit(False)) | F.coalesce(rate < F.col(f"{name}_low"), F.lit(False))
+    for name, (_, bottom, *_) in RATES.items():
+        rate, high = _rate(name), F.col(f"{name}_high")
+        if name in SHARES:
+            n = F.when(F.col(bottom) > 0, F.col(bottom))
+            high = high + REACH * F.sqrt(high * n + 1) / n
+        beyond = beyond | F.coalesce(rate > high, F.lit(False)) | F.coalesce(rate < F.col(f"{name}_low"), F.lit(False))
     joined = measured.join(fences, same, "left")
     joined = joined.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~beyond)
     return joined.select(*measured.columns, "base_failed", "kept")
