@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from collections import Counter
@@ -79,13 +80,51 @@ def test_op2_on_held_out_rows(spark):
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
-    # in this table only English texts show what their label says; marks of the others are random
-    held = [r for r in rows if r["held_out"] and r["toxic"] is not None and r["lang"] == "en"]
-    good, bad = ([r["score"] for r in held if r["toxic"] == y] for y in (0, 1))
-    wins = sum((b > g) + 0.5 * (b == g) for b, g in itertools.product(bad, good))
-    assert wins / len(bad) / len(good) > 0.95
-    hits = sum(r["predicted"] and r["toxic"] for r in held)
-    assert hits / sum(r["predicted"] for r in held) > 0.8 and hits / len(bad) > 0.75
+    held = [r for r in rows if r["held_out"] and r["toxic"] is not None]
+
+    def rank_score(some):
+        good, bad = ([r["score"] for r in some if r["toxic"] == y] for y in (0, 1))
+        return sum((b > g) + 0.5 * (b == g) for b, g in itertools.product(bad, good)) / len(bad) / len(good)
+
+    assert rank_score(held) > 0.95
+    for lang, least in (("en", 0.95), ("de", 0.9), ("fr", 0.9), ("es", 0.75)):
+        assert rank_score([r for r in held if r["lang"] == lang]) > least, lang
+    bad = [r for r in held if r["toxic"]]
+    hits = sum(r["predicted"] for r in bad)
+    assert hits / sum(r["predicted"] for r in held) > 0.8 and hits / len(bad) > 0.85
+
+
+def test_score_from_window_lengths():
+    """Windows, their compressed lengths and the probability, computed one by one."""
+    import zstandard
+
+    toxic = [prose(i, 40) + " vile worm " + prose(i + 500, 30) + " vile worm" for i in range(30)]
+    plain = [prose(i + 1000, 60) for i in range(60)]
+    model = toxicity.train(toxic, plain, 30, 60)
+    assert b" vile" in model.toxic and b" worm" in model.toxic
+
+    def size(content, window):
+        table = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters.from_level(9, source_size=32, dict_size=len(content), min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+        return len(zstandard.ZstdCompressor(dict_data=table, compression_params=params).compress(window))
+
+    for text in (toxic[0], plain[0], "", "Vile Worm", prose(7, 300) + " worm"):
+        raw = (" " + text.lower().replace("\n", " ")).encode()
+        windows, i = [raw[:32]], 24
+        while i + 8 < len(raw):
+            windows.append(raw[i : i + 32])
+            i += 24
+        heads = [b" " + r[:5] for r in model.toxic.split(b" ") if r]
+        gains = [size(model.ordinary, w) - size(model.toxic + model.ordinary, w) if any(h in w for h in heads) else 0 for w in windows]
+        assert toxicity.Scorer(model).gains(raw).tolist() == gains
+        beyond = [sum(g >= k for g in gains) for k in range(1, 13)]
+        top = sorted(gains, reverse=True)[:4]
+        x = [1, top[0], sum(top[:2]) / len(top[:2]), sum(top) / 4, math.log(len(gains)), sum(max(g, 0) for g in gains) / len(gains)]
+        x += [math.log1p(n) for n in beyond] + [math.sqrt(n / len(gains)) for n in beyond]
+        z = sum(a * b for a, b in zip(x, model.weights, strict=True))
+        assert abs(toxicity.Scorer(model).score([text])[0] - 1 / (1 + math.exp(-z))) < 1e-9
+    scores = toxicity.Scorer(model).score(toxic + plain)
+    assert min(scores[:30]) > max(scores[30:])
 
 
 def test_toxicity_odd_rows(spark):
