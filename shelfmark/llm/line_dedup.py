@@ -109,11 +109,27 @@ class Lines:
         return line, (_mixed(free) + place.astype(np.uint64)).view(np.int64), free.view(np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Lines]]:
+def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct lines of some documents: hash (hi, lo), first occurrence there and words."""
     for batch in batches:
-        for i in range(0, batch.num_rows, STEP_LINES):
-            part = batch.slice(i, STEP_LINES)
-            yield part, Lines(part["words"])
+        lists = pc.split_pattern(batch["text"].cast(pa.large_binary()), b"\n")
+        counts = np.diff(lists.offsets.to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        code = np.asarray(coded.indices)
+        doc = np.repeat(np.asarray(batch["doc_id"]), counts)
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+        order = np.lexsort((place, doc))
+        first = order[np.unique(code[order], return_index=True)[1]]
+        # lines that differ in white space alone have one hash and meet later
+        words = [line.split() for line in coded.dictionary.to_pylist()]
+        first = first[np.array([bool(w) for w in words], bool)]
+        joined = [b" ".join(w) for w in words if w]
+        for i in range(0, len(joined), STEP_LINES):
+            some, at = joined[i : i + STEP_LINES], first[i : i + STEP_LINES]
+            raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, some)), ">i8").reshape(-1, 2).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array(doc[at]), pa.array(place[at].astype(np.int32)), pa.array(some, pa.binary())], ["hi", "lo", "doc_id", "place", "words"]
+            )
 
 
 def near(a: list[bytes], b: list[bytes]) -> bool:
@@ -126,44 +142,31 @@ def near(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per distinct line: its 128-bit hash, its first occurrence and its words."""
+    """One row per distinct line: its 128-bit hash and its first occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = pc.split_pattern(batch["text"].cast(pa.large_binary()), b"\n")
-            counts = np.diff(lists.offsets.to_numpy())
-            coded = lists.flatten().dictionary_encode()
-            code = np.asarray(coded.indices)
-            doc = np.repeat(np.asarray(batch["doc_id"]), counts)
-            place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-            order = np.lexsort((place, doc))
-            first = order[np.unique(code[order], return_index=True)[1]]
-            # lines that differ in white space alone meet in the aggregation
-            words = [line.split() for line in coded.dictionary.to_pylist()]
-            some = np.array([bool(w) for w in words], bool)
-            joined = [b" ".join(w) for w in words if w]
-            raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, joined)), ">i8").reshape(-1, 2).astype(np.int64)
-            first = first[some]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array(doc[first]), pa.array(place[first].astype(np.int32)), pa.array(joined, pa.binary())],
-                ["hi", "lo", "doc_id", "place", "words"],
-            )
+        for part in _distinct_lines(batches):
+            yield part.select(["hi", "lo", "doc_id", "place"])
 
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "hi long, lo long, doc_id long, place int, words binary")
-    return each.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.min("words").alias("words"))
+    each = _texts(docs).mapInArrow(run, "hi long, lo long, doc_id long, place int")
+    return each.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "place")).alias("first"))
 
 
-def shared_keys(lines: DataFrame) -> np.ndarray:
+def shared_keys(docs: DataFrame) -> np.ndarray:
     """Bitmap of the rest keys that several different lines have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, table in _slices(batches):
+        for part in _distinct_lines(batches):
             lo = np.asarray(part["lo"])
-            found = [(keys, lo[at]) for _, at, keys, _, _ in table.rests()]
+            found = [(keys, lo[at]) for _, at, keys, _, _ in Lines(part["words"]).rests()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], ["key", "line"])
 
-    keys = lines.select("lo", "words").mapInArrow(run, "key long, line long")
+    keys = _texts(docs).mapInArrow(run, "key long, line long")
     shared = keys.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b")
     slot = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1
     parts = shared.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(
@@ -176,14 +179,15 @@ def shared_keys(lines: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def near_earlier(lines: DataFrame) -> DataFrame:
+def near_earlier(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(hi, lo): distinct lines with a near line whose first occurrence is earlier."""
-    marks = lines.sparkSession.sparkContext.broadcast(shared_keys(lines))
+    marks = docs.sparkSession.sparkContext.broadcast(shared_keys(docs))
     columns = ["hi", "lo", "doc_id", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, mask = marks.value, (1 << BITMAP_BITS) - 1
-        for part, table in _slices(batches):
+        for part in _distinct_lines(batches):
+            table = Lines(part["words"])
             kinds, keys, owners = [], [], []
             for role, at, rest, first, stop in table.rests():
                 marked = np.flatnonzero(bitmap[(rest & mask) >> 3] >> (rest & 7).astype(np.uint8) & 1)
@@ -203,7 +207,7 @@ def near_earlier(lines: DataFrame) -> DataFrame:
                 [pa.array(kind), pa.array(np.concatenate(keys)), *(part[c].take(pa.array(owner)) for c in columns), words], ["kind", "key", *columns, "words"]
             )
 
-    emitted = lines.select("hi", "lo", "first.doc_id", "first.place", "words").mapInArrow(run, "kind int, key long, hi long, lo long, doc_id long, place int, words binary")
+    emitted = _texts(docs).mapInArrow(run, "kind int, key long, hi long, lo long, doc_id long, place int, words binary")
     named = emitted.select("key", (F.col("kind") == 2).alias("at"), "kind", "hi", "lo", F.struct("doc_id", "place").alias("first"), "words")
     named = materialize(named, "variants")
     itself = F.col("kind") == 0
@@ -217,7 +221,9 @@ def near_earlier(lines: DataFrame) -> DataFrame:
     best = best.filter("any_first <> any_last")
     met = F.when(F.col("at"), F.col("any_first")).when(itself, F.col("other_first")).otherwise(F.col("self_first"))
     found = named.drop("words").join(best, ["key", "at"]).withColumn("met", met).filter("met < first")
-    pairs = found.select("hi", "lo", "met").distinct()
+    # a line that several batches hold has met itself where it is not the first one
+    found = found.select("hi", "lo", "met").distinct().join(lines.withColumnRenamed("first", "own"), ["hi", "lo"])
+    pairs = found.filter("met < own").select("hi", "lo", "met")
     # each line with the earliest lines it meets, verified by their words
     texts = named.filter("kind = 0").select("hi", "lo", "first", "words")
     other = texts.select(F.col("first").alias("met"), F.col("words").alias("met_words"))
@@ -241,7 +247,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with new texts, and ``n_lines`` and ``n_dropped`` of each."""
     known = docs.filter("doc_id is not null and text is not null")
     lines = materialize(line_table(known), "lines")
-    kept = lines.join(near_earlier(lines), ["hi", "lo"], "left_anti").select("first.doc_id", "first.place")
+    kept = lines.join(near_earlier(known, lines), ["hi", "lo"], "left_anti").select("first.doc_id", "first.place")
     per_doc = kept.groupBy("doc_id").agg(F.collect_list("place").alias("_places"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     counts = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
