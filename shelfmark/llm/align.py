@@ -49,7 +49,7 @@ LANE_BYTES = 1024
 #: Bytes of text whose links are one block, at most one document more.
 BLOCK_BYTES = 4 << 20
 #: Chunks a task keeps the tokens of; beyond it the store starts anew.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 150_000
 _BLANK = "▁"
 #: White space for which a text is not cut into chunks, as Arrow's and Python's patterns write it.
 _ODD = r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
@@ -269,8 +269,8 @@ def align_blocks(docs: DataFrame, a_path: str, b_path: str, id_column: str = "do
             lens = np.asarray(pc.binary_length(texts).fill_null(0))
             start = 0
             while start < len(lens):
-                # a quarter of a block at a time, at least one text
-                n = max(1, int(np.searchsorted(np.cumsum(lens[start:]), BLOCK_BYTES // 4, "right")))
+                # an eighth of a block at a time, at least one text
+                n = max(1, int(np.searchsorted(np.cumsum(lens[start:]), BLOCK_BYTES // 8, "right")))
                 take(batch["doc_id"].slice(start, n), texts.slice(start, n))
                 size += int(lens[start : start + n].sum())
                 start += n
