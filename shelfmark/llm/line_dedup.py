@@ -42,8 +42,9 @@ from shelfmark.session import materialize
 MIN_WORDS = 8
 BITMAP_BITS = 27
 PARTS = 3
-#: Lines whose keys a task makes in one step.
-STEP_LINES = 1 << 15
+#: Bytes of text, and lines of it, that a task works on in one step.
+STEP_BYTES = 2 << 20
+STEP_LINES = 1 << 14
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -109,9 +110,21 @@ class Lines:
         return line, (_mixed(free) + place.astype(np.uint64)).view(np.int64), free.view(np.int64)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``STEP_BYTES`` of text, at least one row each."""
+    for batch in batches:
+        upto = np.cumsum(np.asarray(pc.binary_length(batch["text"])))
+        start = 0
+        while start < batch.num_rows:
+            before = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, before + STEP_BYTES, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct lines of some documents: hash (hi, lo), first occurrence there and words."""
-    for batch in batches:
+    for batch in _small(batches):
         lists = pc.split_pattern(batch["text"].cast(pa.large_binary()), b"\n")
         counts = np.diff(lists.offsets.to_numpy())
         coded = lists.flatten().dictionary_encode()
