@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from shelfmark.checks import inputs as I
@@ -13,7 +16,8 @@ from shelfmark.checks.registry import query
 from shelfmark.operators import moves, review, stats
 from shelfmark.plans import waves
 from shelfmark.session import scratch_path
-from shelfmark.streaming.waves import run_available
+from shelfmark.sources.store import Store
+from shelfmark.streaming.waves import run_arrivals
 
 CLASHING = (
     "concat('Report ', cast(doc_id % 50 as string), case when doc_id % 7 = 0 then concat('_', doc_id % 4) else '' end, "
@@ -265,23 +269,50 @@ def wave_run(spark, sf):
     return out.decisions.select("path", "category", "confidence", "action", "wave")
 
 
-STREAM_RULES = f"coalesce({R.first_hit(PATH_RULES, 'path', 'category')}, {R.first_hit(GENERIC_RULES, 'filename', 'category', True)})"
+class _Broken(RuntimeError):
+    """Stops a wave half-way, as a lost driver would."""
 
 
 @query(
     "incremental_wave",
-    I.sql(f"select path, {STREAM_RULES} as category, cast(1 as int) as wave from inv", I.INV),
+    I.sql(
+        """select path, category, cast(confidence as int) as confidence, action,
+            (select count(*) from pending) as files, (select count(*) from version_members where not is_canonical) as older
+        from decided""",
+        I.INV,
+        "processed as (select doc_id from documents where false)",
+        I.ALIASES,
+        WAVE[0],
+        WAVE[1],
+        CUR,
+        WAVE[2],
+    ),
 )
 def incremental_wave(spark, sf):
-    """Streamed waves over the documents file; a second run must add nothing."""
-    from shelfmark.operators.categorize import cascade
-
-    schema = I.table(spark, sf, "documents").schema
-
-    def decide(batch, wave):
-        return cascade(I.inv_of(batch)).select("path", "category")
-
-    out, state = scratch_path(spark, "waves"), scratch_path(spark, "stream")
-    for _ in range(2):
-        table = run_available(spark, sf, schema, decide, out, state, glob="documents.parquet")
-    return table.select("path", "category", "wave")
+    """Three arrivals of the documents, the second one broken off and repeated; the latest decisions are those of one batch."""
+    from shelfmark.operators.state import latest_decisions
+
+    docs = I.table(spark, sf, "documents")
+    source, mark = scratch_path(spark, "arrivals"), scratch_path(spark, "stream")
+    store = Store.open(spark, scratch_path(spark, "store"))
+    now = F.current_timestamp().cast("timestamp_ntz")
+
+    def break_off(kind):
+        if kind == "decisions":
+            raise _Broken(kind)
+
+    for arrival in range(3):
+        docs.filter(F.pmod("doc_id", F.lit(3)) == arrival).coalesce(1).write.parquet(f"{source}/{arrival}")
+        run = partial(run_arrivals, store, f"{source}/*", docs.schema, mark, I.aliases(spark), now, I.inv_of)
+        if arrival == 1:
+            try:
+                run(written=break_off)
+            except StreamingQueryException:
+                pass
+        run()
+    latest = latest_decisions(store.all("decisions"))
+    totals = store.all("files").agg(F.count(F.lit(1)).alias("files"))
+    older = latest.filter("action = 'delete'").agg(F.count(F.lit(1)).alias("older"))
+    rows = latest.select("path", "category", "confidence", "action", F.lit(1).alias("one"))
+    sums = totals.withColumn("one", F.lit(1)).join(older.withColumn("one", F.lit(1)), "one")
+    return rows.join(sums, "one").drop("one")

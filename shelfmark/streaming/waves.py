@@ -8,11 +8,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.plans.waves import run_stored_wave
 from shelfmark.schemas import DECISIONS
+from shelfmark.session import materialize
+from shelfmark.sources.store import Store
 
 Decide = Callable[[DataFrame, int], DataFrame]
 
 
+def run_arrivals(
+    store: Store,
+    source: str,
+    schema: T.StructType,
+    checkpoint: str,
+    aliases: DataFrame,
+    at,
+    inventory: Callable[[DataFrame], DataFrame] = lambda batch: batch,
+    files_per_wave: int = 1,
+    fmt: str = "parquet",
+    **options,
+) -> None:
+    """Turn what is new in ``source`` into waves of ``store``, ``files_per_wave`` arrived files each.
+
+    ``inventory`` makes an inventory with ``text`` out of a batch; ``options``
+    go to ``run_stored_wave``. Every micro-batch is one wave, named by the
+    stream's batch number: after a crash the stream repeats the batch that it
+    has not committed, under the same number, and the wave is written anew.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        arrived = materialize(inventory(batch), "arrived")  # read by several steps of the wave
+        run_stored_wave(store, arrived, batch_id + 1, aliases, at, **options)
+
+    reader = store.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_wave)
+    query = (
+        reader.format(fmt).load(source).writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
 def run_available(
     spark: SparkSession,
     source: str,

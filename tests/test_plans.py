@@ -8,6 +8,7 @@ from shelfmark.operators import moves, review, state, stats
 from shelfmark.operators.categorize import CONTENT_ROUTES
 from shelfmark.plans import structure, waves
 from shelfmark.settings import Settings
+from shelfmark.sources.store import Store
 from shelfmark.streaming.waves import run_available
 
 
@@ -201,6 +202,118 @@ def test_stream_resumes_without_repeats(spark, tmp_path):
     assert go().count() == 5
 
 
+# ---- waves that go on
+
+
+def store_rows(store):
+    """Every table of a store as multisets of rows, without times."""
+    from collections import Counter
+
+    out = {}
+    for kind in store.names:
+        rows = store.all(kind)
+        out[kind] = Counter(str(r) for r in rows.drop(*(c for c in ("processed_at", "ts") if c in rows.columns)).collect())
+    return out
+
+
+def latest(store):
+    rows = state.latest_decisions(store.all("decisions")).collect()
+    return {(r["path"], r["category"], r["confidence"], r["action"]) for r in rows}
+
+
+ARRIVALS = [
+    ["x/plan_v2.txt", "HR/a.txt", "x/notes.txt", "Customers/Acme Corp/offer.txt", "y/acme corp.txt"],
+    ["x/plan_v1.txt", "x/other.txt", "z/notes.txt", "x/plan_v3.txt"],
+    ["x/plan_FINAL.txt", "q/Untitled 1.txt", "q/odd.txt"],
+]
+
+
+def stored(spark, folder, arrivals, **kw):
+    store = Store.open(spark, str(folder), 4)
+    for wave, names in enumerate(arrivals, 1):
+        waves.run_stored_wave(store, inventory(spark, names), wave, alias_rows(spark), NOW(), **kw)
+    return store
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 0, 2)])
+def test_arrivals_in_any_order_equal_one_batch(spark, tmp_path, order):
+    """A newer variant displaces an earlier winner, an older one is no better than the winner known."""
+    store = stored(spark, tmp_path / "s", [ARRIVALS[i] for i in order])
+    none = spark.createDataFrame([], "path string")
+    files = inventory(spark, sum(ARRIVALS, []))
+    whole = {(r["path"], r["category"], r["confidence"], r["action"]) for r in run(spark, files, none, 1).collect()}
+    assert latest(store) == whole
+    older = {r["path"] for r in state.latest_decisions(store.all("decisions")).filter("action = 'delete'").collect()}
+    assert older == {"/r/z/notes.txt", *(f"/r/x/plan_{v}.txt" for v in ("v1", "v2", "v3"))}
+    store.forget()
+
+
+def test_a_wave_writes_every_table(spark, tmp_path):
+    def scorer(batch):
+        return ['{"category":"A","confidence":6,"reasoning":"r","action":"move"}'] * len(batch)
+
+    def critic(batch):
+        return ['{"critique":"c","alternative_interpretations":["B","C"],"changed":true,"final_category":"B","final_confidence":5}'] * len(batch)
+
+    store = stored(spark, tmp_path / "s", ARRIVALS, scorer=scorer, critic=critic)
+    names = {r["name"] for r in store.all("names").collect()}
+    assert "Acme Corp" in names and store.all("names").count() == len(names)
+    moves = store.all("moves").collect()
+    dests = [r["dest"] for r in moves]
+    assert len(dests) == len(set(dests)) and all(d.startswith("/archive/") for d in dests)
+    log = store.all("log").collect()
+    assert {r["dest"] for r in log if r["action"] == "MOVED"} == set(dests)
+    assert {r["source"] for r in log if r["action"] == "DELETED"} == {"/r/z/notes.txt", *(f"/r/x/plan_{v}.txt" for v in ("v1", "v2", "v3"))}
+    sheet = {r["path"]: r for r in store.all("worksheet").collect()}
+    assert sheet["/r/x/notes.txt"]["alternatives"] == ["B", "C"] and sheet["/r/x/notes.txt"]["category"] == "B"
+    done = {r["path"]: r for r in store.all("decisions").collect() if r["decided_by"] == "scorer"}
+    assert done["/r/x/notes.txt"]["critique"] == "c" and done["/r/x/notes.txt"]["original_category"] == "A" and done["/r/x/notes.txt"]["original_confidence"] == 6
+    assert [(r["wave"], r["arrived"]) for r in store.all("waves").orderBy("wave").collect()] == [(1, 5), (2, 4), (3, 3)]
+    store.forget()
+
+
+@pytest.mark.parametrize("last", ["files", "decisions", "moves", "worksheet"])
+def test_a_broken_wave_is_written_anew(spark, tmp_path, last):
+    whole = store_rows(stored(spark, tmp_path / "a", ARRIVALS[:2]))
+
+    class Lost(Exception):
+        pass
+
+    def lose(kind):
+        if kind == last:
+            raise Lost
+
+    store = stored(spark, tmp_path / "b", ARRIVALS[:1])
+    with pytest.raises(Lost):
+        waves.run_stored_wave(store, inventory(spark, ARRIVALS[1]), 2, alias_rows(spark), NOW(), written=lose)
+    store.forget()  # another session opens the folder
+    store = Store.open(spark, str(tmp_path / "b"), 64)
+    waves.run_stored_wave(store, inventory(spark, ARRIVALS[1]), 2, alias_rows(spark), NOW())
+    assert store_rows(store) == whole
+
+
+def test_state_is_not_moved_and_other_waves_are_not_touched(spark, tmp_path):
+    import os
+
+    store = stored(spark, tmp_path / "s", ARRIVALS[:2])
+    before = {f: os.stat(f).st_mtime_ns for f in map(str, (tmp_path / "s" / "decisions" / "wave=1").iterdir())}
+    waves.run_stored_wave(store, inventory(spark, ARRIVALS[2]), 3, alias_rows(spark), NOW())
+    assert before == {f: os.stat(f).st_mtime_ns for f in map(str, (tmp_path / "s" / "decisions" / "wave=1").iterdir())}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        fresh = inventory(spark, ["n/new.txt"]).select("path")
+        plan = fresh.join(store.before("decisions", 4).select("path"), "path", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    state_side = plan[plan.index("FileScan") - 400 :]
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in state_side
+    store.forget()
+
+
 def test_structure_proposal(spark):
     files = inventory(spark, ["HR/a.txt", "x/b.txt"])
     request = structure.structure_request(files, "Known names: none")
