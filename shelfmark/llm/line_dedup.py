@@ -43,7 +43,7 @@ MIN_WORDS = 8
 BITMAP_BITS = 27
 PARTS = 3
 #: Bytes of text, and lines of it, that a task works on in one step.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 4 << 20
 STEP_LINES = 1 << 14
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -122,8 +122,12 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = stop
 
 
-def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct lines of some documents: hash (hi, lo), first occurrence there and words."""
+def _distinct_lines(batches: Iterator[pa.RecordBatch], once: bool = False) -> Iterator[pa.RecordBatch]:
+    """The distinct lines of some documents: hash (hi, lo), first occurrence there and words.
+
+    ``once``: a line that an earlier step of the task has had is left out.
+    """
+    seen: set[int] = set()
     for batch in _small(batches):
         lists = pc.split_pattern(batch["text"].cast(pa.large_binary()), b"\n")
         counts = np.diff(lists.offsets.to_numpy())
@@ -140,9 +144,16 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for i in range(0, len(joined), STEP_LINES):
             some, at = joined[i : i + STEP_LINES], first[i : i + STEP_LINES]
             raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, some)), ">i8").reshape(-1, 2).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
+            part = pa.RecordBatch.from_arrays(
                 [pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array(doc[at]), pa.array(place[at].astype(np.int32)), pa.array(some, pa.binary())], ["hi", "lo", "doc_id", "place", "words"]
             )
+            if once:
+                new = [x not in seen for x in raw[:, 1].tolist()]
+                seen.update(raw[:, 1].tolist())
+                part = part.filter(pa.array(new, pa.bool_()))
+                if len(seen) > 1 << 18:  # repeated lines only cost their keys again
+                    seen.clear()
+            yield part
 
 
 def near(a: list[bytes], b: list[bytes]) -> bool:
@@ -174,7 +185,7 @@ def shared_keys(docs: DataFrame) -> np.ndarray:
     """Bitmap of the rest keys that several different lines have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _distinct_lines(batches):
+        for part in _distinct_lines(batches, once=True):
             lo = np.asarray(part["lo"])
             found = [(keys, lo[at]) for _, at, keys, _, _ in Lines(part["words"]).rests()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], ["key", "line"])
@@ -195,11 +206,10 @@ def shared_keys(docs: DataFrame) -> np.ndarray:
 def near_earlier(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(hi, lo): distinct lines with a near line whose first occurrence is earlier."""
     marks = docs.sparkSession.sparkContext.broadcast(shared_keys(docs))
-    columns = ["hi", "lo", "doc_id", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, mask = marks.value, (1 << BITMAP_BITS) - 1
-        for part in _distinct_lines(batches):
+        for part in _distinct_lines(batches, once=True):
             table = Lines(part["words"])
             kinds, keys, owners = [], [], []
             for role, at, rest, first, stop in table.rests():
@@ -216,13 +226,13 @@ def near_earlier(docs: DataFrame, lines: DataFrame) -> DataFrame:
             kind = np.concatenate(kinds)
             # the words travel once per line, with the line itself
             words = part["words"].take(pa.array(owner, mask=kind != 0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kind), pa.array(np.concatenate(keys)), *(part[c].take(pa.array(owner)) for c in columns), words], ["kind", "key", *columns, "words"]
-            )
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate(keys)), part["hi"].take(at), part["lo"].take(at), words], ["kind", "key", "hi", "lo", "words"])
 
-    emitted = _texts(docs).mapInArrow(run, "kind int, key long, hi long, lo long, doc_id long, place int, words binary")
-    named = emitted.select("key", (F.col("kind") == 2).alias("at"), "kind", "hi", "lo", F.struct("doc_id", "place").alias("first"), "words")
-    named = materialize(named, "variants")
+    emitted = _texts(docs).mapInArrow(run, "kind int, key long, hi long, lo long, words binary")
+    # a line in many documents emits the same rows in many tasks
+    keys = emitted.groupBy("hi", "lo", "kind", "key").agg(F.min("words").alias("words"))
+    named = materialize(keys.join(lines, ["hi", "lo"]).withColumn("at", F.col("kind") == 2), "variants")
     itself = F.col("kind") == 0
     best = named.groupBy("key", "at").agg(
         F.min("first").alias("any_first"),
@@ -234,9 +244,7 @@ def near_earlier(docs: DataFrame, lines: DataFrame) -> DataFrame:
     best = best.filter("any_first <> any_last")
     met = F.when(F.col("at"), F.col("any_first")).when(itself, F.col("other_first")).otherwise(F.col("self_first"))
     found = named.drop("words").join(best, ["key", "at"]).withColumn("met", met).filter("met < first")
-    # a line that several batches hold has met itself where it is not the first one
-    found = found.select("hi", "lo", "met").distinct().join(lines.withColumnRenamed("first", "own"), ["hi", "lo"])
-    pairs = found.filter("met < own").select("hi", "lo", "met")
+    pairs = found.select("hi", "lo", "met").distinct()
     # each line with the earliest lines it meets, verified by their words
     texts = named.filter("kind = 0").select("hi", "lo", "first", "words")
     other = texts.select(F.col("first").alias("met"), F.col("words").alias("met_words"))
