@@ -10,7 +10,8 @@ each other. The reader decodes all blocks of a segment in step by one table of
 ``2 ** bits`` entries.
 
 Null texts count as empty: such a document holds the end id alone. Null ids
-come first; equal ids stand next to each other, ordered by their content.
+come first; equal ids stand next to each other, ordered by length and hash of their
+tokens.
 An empty table gives an empty folder. Columns other than id and text are not
 stored.
 """
@@ -21,17 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bounded_batches, bpe_of, documents, drop_per_worker, range_cuts, stored, text_groups
+from shelfmark.llm.common import bounded_batches, bpe_of, documents, drop_per_worker, stored, text_groups
 from shelfmark.session import scratch_path
 
 BLOCK = 256
 #: Coded bytes of a segment (a longer document has a segment of its own).
 SEGMENT_BYTES = 512 << 10
-#: Coded bytes per range of documents.
-RANGE_BYTES = 16 << 20
 
 
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
@@ -177,67 +177,51 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, max_b
     limit = max_bits or max(12, int(np.count_nonzero(counts)).bit_length() + 2)
     bits = code_lengths(counts, limit)
     codes = canonical_codes(bits)
-    coded_bytes = int((counts * bits).sum()) // 8
-    parts = 1 + coded_bytes // RANGE_BYTES
-    cuts = np.array([c["doc_id"] for c in range_cuts(tokens.select("doc_id"), ["doc_id"], parts) if c["doc_id"] is not None][1:])
-
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        drop_per_worker("bpe")
-        for batch in batches:
-            for first in range(0, len(batch), 512):
-                part = batch.iloc[first : first + 512]
-                rows = [np.frombuffer(x, f"<u{w}") for x, w in zip(part["ids"], part["width"], strict=True)]
-                n = np.fromiter(map(len, rows), np.int64, len(rows))
-                stream, sizes, inner = pack_bits(np.concatenate(rows), n, bits, codes)
-                ends = np.cumsum(sizes).tolist()
-                starts = (np.cumsum(n) - n).tolist()
-                ids = part["doc_id"]
-                yield pd.DataFrame(
-                    {
-                        "bucket": np.where(ids.isna(), 0, np.searchsorted(cuts, ids.fillna(0), side="right")),
-                        "doc_id": ids,
-                        "n": n,
-                        "coded": [stream[a:b] for a, b in zip([0, *ends], ends, strict=False)],
-                        "points": [inner[s : s + k : BLOCK].astype("<u4").tobytes() for s, k in zip(starts, n.tolist(), strict=True)],
-                    }
-                )
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         drop_per_worker("bpe")
-        held, size, bucket, start = [], 0, None, 0
+        bucket = TaskContext.get().partitionId()  # ranges are numbered in the order of their documents
+        held, size, start = [], 0, 0
 
         def close() -> pd.DataFrame:
-            nonlocal start
+            nonlocal held, size, start
             base, points = 0, []
-            for r in held:
-                points.append(np.frombuffer(r.points, "<u4").astype("<u8") + 8 * base)
-                base += len(r.coded)
-            n = np.array([r.n for r in held])
-            row = {
+            for _, _, coded, own in held:
+                points.append(own + 8 * base)
+                base += len(coded)
+            n = [row[1] for row in held]
+            out = {
                 "bucket": bucket,
                 "start": start,
-                "doc_ids": [None if pd.isna(r.doc_id) else int(r.doc_id) for r in held],
-                "counts": n.tolist(),
+                "doc_ids": [None if pd.isna(row[0]) else int(row[0]) for row in held],
+                "counts": n,
                 "points": np.concatenate(points).astype("<u8").tobytes(),
-                "stream": b"".join(r.coded for r in held),
+                "stream": b"".join(row[2] for row in held),
             }
-            start += int(n.sum())
-            return pd.DataFrame([row])
+            start += sum(n)
+            held, size = [], 0
+            return pd.DataFrame([out])
 
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                if held and (r.bucket != bucket or size + len(r.coded) > SEGMENT_BYTES):
-                    yield close()
-                    held, size = [], 0
-                if r.bucket != bucket:
-                    bucket, start = r.bucket, 0
-                held.append(r)
-                size += len(r.coded)
+            for first in range(0, len(batch), 512):
+                part = batch.iloc[first : first + 512]
+                rows = [np.frombuffer(x, f"<u{w}") for x, w in zip(part["ids"], part["width"], strict=True)]
+                n = np.fromiter(map(len, rows), np.int64, len(rows))
+                stream, sizes, inner = pack_bits(np.concatenate(rows), n, bits, codes)
+                ends = np.cumsum(sizes).tolist()
+                starts = (np.cumsum(n) - n).tolist()
+                for doc_id, k, s, a, b in zip(part["doc_id"].tolist(), n.tolist(), starts, [0, *ends], ends, strict=False):
+                    if held and size + b - a > SEGMENT_BYTES:
+                        yield close()
+                    held.append((doc_id, k, stream[a:b], inner[s : s + k : BLOCK].astype("<u8")))
+                    size += b - a
         if held:
             yield close()
 
-    coded = tokens.mapInPandas(code, "bucket int, doc_id long, n long, coded binary, points binary")
-    ranged = coded.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n", "coded")
+    # one range of documents a task; equal ids are told apart by their content, so that no id is too hot to be split
+    order = [F.col("doc_id").asc_nulls_first(), F.length("ids"), F.xxhash64("ids")]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged.mapInPandas(
         segments, "bucket int, start long, doc_ids array<long>, counts array<long>, points binary, stream binary"
     ).write.parquet(f"{folder}/segments")

@@ -114,12 +114,16 @@ def test_blocks_round_trip():
     assert huffman.unpack_bits(stream, np.array(starts[i : i + 1]), np.array([1]), *table).tolist() == ids[sum(lengths[:i]) :][:1].tolist()
 
 
-@pytest.mark.parametrize("segment, ranges", [(1 << 20, 1 << 24), (200, 2000)])
+@pytest.mark.parametrize("segment,ranges", [(huffman.SEGMENT_BYTES, "8"), (300, "3"), (huffman.SEGMENT_BYTES, "1")])
 def test_op3(spark, tmp_path, monkeypatch, segment, ranges):
     monkeypatch.setattr(huffman, "SEGMENT_BYTES", segment)
-    monkeypatch.setattr(huffman, "RANGE_BYTES", ranges)
     own = library("word_bpe_49k.json")
-    got = QUERIES["op3_huffman_ids"](spark, as_table(spark, odd_docs(spark), tmp_path)).collect()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = QUERIES["op3_huffman_ids"](spark, as_table(spark, odd_docs(spark), tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     ids = [(d, own.encode(t or "", add_special_tokens=False).ids + [2]) for d, t, *_ in odd_rows()]
     crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((d is not None, d or 0, len(x), crc(x)) for d, x in ids)
