@@ -127,3 +127,11 @@ def dedup_report(members: DataFrame, plan: DataFrame) -> DataFrame:
         ).alias("line_no", "line"),
     )
     return head.unionByName(body)
+
+
+def wave_metrics(waves: DataFrame) -> DataFrame:
+    """(wave, arrived, bytes, decided, errors, seconds, files_per_second) per wave and, with a null wave, over all of them."""
+    sums = [F.sum(c).alias(c) for c in ("arrived", "bytes", "decided", "errors", "seconds")]
+    totals = waves.rollup("wave").agg(*sums)
+    speed = F.when(F.col("seconds") > 0, F.col("arrived") / F.col("seconds"))
+    return totals.withColumn("files_per_second", speed)

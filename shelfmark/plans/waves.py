@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfmark.operators import categorize, decide, dedup, filters, scoring
@@ -179,8 +180,12 @@ def run_stored_wave(
     the order of arrival. All rows are written under the wave's number, and
     only earlier waves are read: an attempt that failed half-way is written
     over. ``written`` is told each table that is done.
+
+    The wave's measures (files and bytes arrived, decisions, failed calls, seconds)
+    are observed while its tables are written, without another pass.
     """
-    spark = arrived.sparkSession
+    spark, began = arrived.sparkSession, time.monotonic()
+    came, made = Observation(), Observation()
 
     def put(kind: str, rows: DataFrame) -> None:
         store.put(kind, rows, wave)
@@ -188,7 +193,9 @@ def run_stored_wave(
 
     slim = accepted(arrived.drop("text"), settings)
     known = store.before("decisions", wave, spark).select("path")
-    pending = materialize(slim.join(known, "path", "left_anti"), "pending")
+    pending = slim.join(known, "path", "left_anti")
+    n = F.count(F.lit(1))
+    pending = materialize(pending.observe(came, n.alias("arrived"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")), "pending")
     put("files", pending)
 
     keys = dedup.version_keys(pending)
@@ -218,7 +225,8 @@ def run_stored_wave(
     decided = decide_files(arrived, open_rows, every, scorer, critic, earlier, context, settings)
     decided = decided.unionByName(older_versions(older.unionByName(displaced)))
     # scorers are asked once: everything below reads what is written here
-    decided = materialize(decided.withColumn("processed_at", at), "decided")
+    failed = F.count_if((F.col("decided_by") == "scorer") & F.col("reasoning").startswith("Error:"))
+    decided = materialize(decided.withColumn("processed_at", at).observe(made, n.alias("decided"), failed.alias("errors")), "decided")
     put("decisions", decided)
 
     put("names", materialize(learn_entities(decided, aliases, learned), "names"))
@@ -231,5 +239,5 @@ def run_stored_wave(
     put("log", action_rows(planned, "MOVE", "path", "dest", at).unionByName(action_rows(deletes, "DELETE", "path", None, at)))
     unsure = decided.filter("action not in ('move', 'skip', 'delete')").select("path", "category", "alternatives").join(attributes, "path")
     put("worksheet", worksheet(unsure, settings))
-    sizes = pending.select(F.lit(1).alias("arrived"), F.lit(0).alias("decided")).unionByName(decided.select(F.lit(0).alias("arrived"), F.lit(1).alias("decided")))
-    put("waves", sizes.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("arrived", "decided"))))
+    measures = {**came.get, **made.get, "seconds": time.monotonic() - began}
+    put("waves", spark.range(1).select(*(F.lit(v).alias(k) for k, v in measures.items())))

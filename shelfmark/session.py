@@ -40,11 +40,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+_written: list[str] = []
 
 
-_written: list[str] = []
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new place in the scratch folder; ``release`` deletes what lies there."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -55,7 +58,6 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

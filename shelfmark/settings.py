@@ -17,8 +17,8 @@ CONTENT_PHRASES = (
     ("HR/Expenses", ("travel claim", "receipts attached")),
     ("Templates/Sales", ("pitch template",)),
 )
-# Areas of a tree that a review is grouped by, (part of the lower-cased path, label), first hit first;
-# files of a split area are told apart by the folder below it.
+# Areas of a tree that a review is grouped by, (part of the lower-cased path, label), first hit first; files of a split area
+# are told apart by the folder below it. The mail folder and the name of the rest are samples, to be replaced by a run's own.
 REVIEW_AREAS = (
     ("mailattachments", "Downloads/MailAttachments"),
     ("/downloads/", "Downloads"),

@@ -31,7 +31,7 @@ TABLES: dict[str, tuple[str, str | None]] = {
     "moves": ("path string, category string, filename string, dest string", None),
     "log": ("action string, source string, dest string, level string, ts timestamp_ntz", None),
     "worksheet": ("path string, filename string, size_bytes bigint, category string, alternatives array<string>, bucket string, row_no bigint, page bigint", None),
-    "waves": ("arrived bigint, decided bigint", None),
+    "waves": ("arrived bigint, bytes bigint, decided bigint, errors bigint, seconds double", None),
 }
 
 

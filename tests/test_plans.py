@@ -212,7 +212,7 @@ def store_rows(store):
     out = {}
     for kind in store.names:
         rows = store.all(kind)
-        out[kind] = Counter(str(r) for r in rows.drop(*(c for c in ("processed_at", "ts") if c in rows.columns)).collect())
+        out[kind] = Counter(str(r) for r in rows.drop(*(c for c in ("processed_at", "ts", "seconds") if c in rows.columns)).collect())
     return out
 
 
@@ -268,7 +268,22 @@ def test_a_wave_writes_every_table(spark, tmp_path):
     assert sheet["/r/x/notes.txt"]["alternatives"] == ["B", "C"] and sheet["/r/x/notes.txt"]["category"] == "B"
     done = {r["path"]: r for r in store.all("decisions").collect() if r["decided_by"] == "scorer"}
     assert done["/r/x/notes.txt"]["critique"] == "c" and done["/r/x/notes.txt"]["original_category"] == "A" and done["/r/x/notes.txt"]["original_confidence"] == 6
-    assert [(r["wave"], r["arrived"]) for r in store.all("waves").orderBy("wave").collect()] == [(1, 5), (2, 4), (3, 3)]
+    measures = {r["wave"]: r for r in stats.wave_metrics(store.all("waves")).collect()}
+    assert {w: (r["arrived"], r["bytes"], r["decided"], r["errors"]) for w, r in measures.items()} == {1: (5, 50, 5, 0), 2: (4, 40, 5, 0), 3: (3, 30, 4, 0), None: (12, 120, 14, 0)}
+    assert all(abs(r["files_per_second"] * r["seconds"] - r["arrived"]) < 1e-6 and r["seconds"] > 0 for r in measures.values())
+    store.forget()
+
+
+def test_failed_calls_are_counted(spark, tmp_path):
+    def scorer(batch):
+        raise RuntimeError("no service")
+
+    quick = Settings(max_retries=0, retry_delay_seconds=0)
+    store = stored(spark, tmp_path / "s", [["x/one.txt", "x/two.txt", "HR/a.txt"]], scorer=scorer, settings=quick)
+    # files that have come before are no news
+    waves.run_stored_wave(store, inventory(spark, ["x/one.txt"]), 2, alias_rows(spark), NOW(), scorer=scorer, settings=quick)
+    rows = {r["wave"]: (r["arrived"], r["decided"], r["errors"]) for r in store.all("waves").collect()}
+    assert rows == {1: (3, 3, 2), 2: (0, 0, 0)}
     store.forget()
 
 
