@@ -125,9 +125,11 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _distinct_lines(batches: Iterator[pa.RecordBatch], once: bool = False) -> Iterator[pa.RecordBatch]:
     """The distinct lines of some documents: hash (hi, lo), first occurrence there and words.
 
-    ``once``: a line that an earlier step of the task has had is left out.
+    ``once``: only lines that can be near others, and without those that an
+    earlier step of the task has had.
     """
     seen: set[int] = set()
+    least = MIN_WORDS if once else 1
     for batch in _small(batches):
         lists = pc.split_pattern(batch["text"].cast(pa.large_binary()), b"\n")
         counts = np.diff(lists.offsets.to_numpy())
@@ -139,8 +141,8 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch], once: bool = False) -> It
         first = order[np.unique(code[order], return_index=True)[1]]
         # lines that differ in white space alone have one hash and meet later
         words = [line.split() for line in coded.dictionary.to_pylist()]
-        first = first[np.array([bool(w) for w in words], bool)]
-        joined = [b" ".join(w) for w in words if w]
+        first = first[np.array([len(w) >= least for w in words], bool)]
+        joined = [b" ".join(w) for w in words if len(w) >= least]
         for i in range(0, len(joined), STEP_LINES):
             some, at = joined[i : i + STEP_LINES], first[i : i + STEP_LINES]
             raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, some)), ">i8").reshape(-1, 2).astype(np.int64)
