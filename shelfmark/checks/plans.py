@@ -302,8 +302,9 @@ def incremental_wave(spark, sf):
             raise _Broken(kind)
 
     for arrival in range(3):
-        docs.filter(F.pmod("doc_id", F.lit(3)) == arrival).coalesce(1).write.parquet(f"{source}/{arrival}")
-        run = partial(run_arrivals, store, f"{source}/*", docs.schema, mark, I.aliases(spark), now, I.inv_of)
+        # an arrival is as many files as the scan has tasks
+        docs.filter(F.pmod("doc_id", F.lit(3)) == arrival).write.parquet(f"{source}/{arrival}")
+        run = partial(run_arrivals, store, f"{source}/*", docs.schema, mark, I.aliases(spark), now, I.inv_of, files_per_wave=None)
         if arrival == 1:
             try:
                 run(written=break_off)

@@ -24,11 +24,11 @@ def run_arrivals(
     aliases: DataFrame,
     at,
     inventory: Callable[[DataFrame], DataFrame] = lambda batch: batch,
-    files_per_wave: int = 1,
+    files_per_wave: int | None = 1,
     fmt: str = "parquet",
     **options,
 ) -> None:
-    """Turn what is new in ``source`` into waves of ``store``, ``files_per_wave`` arrived files each.
+    """Turn what is new in ``source`` into waves of ``store``, ``files_per_wave`` arrived files each (None: all of them, one wave).
 
     ``inventory`` makes an inventory with ``text`` out of a batch; ``options``
     go to ``run_stored_wave``. Every micro-batch is one wave, named by the
@@ -40,7 +40,9 @@ def run_arrivals(
         arrived = materialize(inventory(batch), "arrived")  # read by several steps of the wave
         run_stored_wave(store, arrived, batch_id + 1, aliases, at, **options)
 
-    reader = store.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_wave)
+    reader = store.spark.readStream.schema(schema)
+    if files_per_wave is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_wave)
     query = (
         reader.format(fmt).load(source).writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -350,3 +350,27 @@ def test_context_names_every_table():
                  employees={"P": {"role": "R", "team": "T"}}), ["E"], ["HR"])
     for part in ("Us", "V [v1]", "* C", "F [f]", "P [R | T]", "Known names: E", "* HR"):
         assert part in text
+
+
+def test_an_arrival_is_written_by_as_many_tasks_as_read_it(spark, tmp_path, monkeypatch):
+    """And all its files are one wave."""
+    import os
+
+    from shelfmark.checks import plans
+    from shelfmark.checks.registry import QUERIES
+    from shelfmark.streaming import waves as streaming
+
+    docs = spark.range(60).selectExpr("id as doc_id", "concat('invoice number ', id) as text", "'en' as lang", "'s' as source", "16L as n_chars")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 30)  # a task per file
+    paths, came, keep = [], [], plans.scratch_path
+    monkeypatch.setattr(plans, "scratch_path", lambda *a: paths.append(keep(*a)) or paths[-1])
+    monkeypatch.setattr(streaming, "run_stored_wave", lambda store, arrived, wave, *a, **k: came.append((wave, arrived.count())))
+    try:
+        QUERIES["incremental_wave"](spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    source = next(p for p in paths if "arrivals" in p)
+    for arrival in range(3):
+        assert sum(f.endswith(".parquet") for f in os.listdir(f"{source}/{arrival}")) == 4
+    assert came == [(1, 20), (2, 20), (3, 20)]
