@@ -65,9 +65,13 @@ class Model:
     share: float = 0.0
 
 
+#: White space, and punctuation that opens a word.
+_OPENING = re.compile(r"[^\S ]|(?<!\S)[^\w\s]+(?=\w)")
+
+
 def _bytes(text: str | None) -> bytes:
-    """Lower case, every word behind a blank."""
-    return (" " + (text or "").lower().replace("\n", " ")).encode()
+    """Lower case, every word behind a blank, also behind other white space, brackets, quotes or marks."""
+    return (" " + _OPENING.sub(lambda found: " " * len(found.group()), (text or "").lower())).encode()
 
 
 def _windows(raw: bytes) -> Iterator[bytes]:

@@ -127,6 +127,13 @@ def test_score_from_window_lengths():
     assert min(scores[:30]) > max(scores[30:])
 
 
+def test_toxic_words_are_looked_at_behind_any_mark():
+    toxic = [prose(i, 40) + " vile worm " + prose(i + 500, 30) + " vile worm" for i in range(30)]
+    scorer = toxicity.Scorer(toxicity.train(toxic, [prose(i + 1000, 60) for i in range(60)], 30, 60))
+    for mark in ("\t", "\r\n", "\u3000", " (", ' "', " «", " **"):
+        assert scorer.gains(toxicity._bytes(f"{prose(9, 40)}{mark}vile{mark}worm")).max() > 0, repr(mark)
+
+
 def test_toxicity_odd_rows(spark):
     docs = odd_docs(spark)
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
