@@ -48,6 +48,35 @@ def flat_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
 
 
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat bytes and sizes of an Arrow column of large strings or bytes without nulls."""
+    _, offsets, raw = words.buffers()
+    if not len(words) or raw is None:
+        return np.empty(0, np.uint8), np.zeros(len(words), np.int64)
+    offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def _runs(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``flat`` that ``at`` names, one behind the other, and their lengths."""
+    kind = np.int32 if len(at) and int(lens.max()) * len(at) < 1 << 31 else np.int64
+    counts = lens.astype(kind)[at]
+    ends = np.cumsum(counts, dtype=kind)
+    shift = starts.astype(kind)[at]
+    shift -= ends
+    shift += counts
+    take = np.repeat(shift, counts)
+    take += np.arange(len(take), dtype=kind)
+    return flat[take], counts
+
+
+#: Of every byte: letter 0, digit 1, line feed 2, other 3; lower case; whether a chunk with it is cut as a string.
+_KIND, _LOWER, _SLOW = np.full(256, 3, np.uint8), np.arange(256, dtype=np.uint8), np.zeros(256, bool)
+_KIND[[*range(65, 91), *range(97, 123)]], _KIND[48:58], _KIND[10] = 0, 1, 2
+_LOWER[65:91] += 32
+_SLOW[[9, 11, 12, 13, 32, *b"'<", *range(128, 256)]] = True
+
+
 class Bpe:
     """Tables of one tokenizer file and the encoder over them."""
 
@@ -91,8 +120,6 @@ class Bpe:
         self.maybe[self._slot(keys)] = True
         self.pair_rank = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         self._build_trie()
-        self.cache: dict[str, int] = {}
-        self.pool: list[np.ndarray] = []
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -199,7 +226,7 @@ class Bpe:
         for top in (4, 8, 12, 16, 24, 32, 64, 128, _BULK_BYTES):
             rows = np.nonzero((lens > low) & (lens <= top))[0]
             low = top
-            for part in np.array_split(rows, max(1, len(rows) * top // (1 << 20))):
+            for part in np.array_split(rows, max(1, len(rows) * top // (1 << 17))):
                 if len(part):
                     shut = None if closed is None else closed[part]
                     found.append((part, self._merge_bulk(text, begin[part], lens[part], top, shut)))
@@ -350,27 +377,17 @@ class Bpe:
         parts[0] = "\n\n" + parts[0]
         return parts
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode chunks that are not in the cache yet, all their words at once."""
-        odd = [c for c in new if _SEP in c or "<|" in c and any(t in c for t in self.special) or c[-1:].isspace()]
-        if odd:
-            left_out = set(odd)
-            new = [c for c in new if c not in left_out]
-        plain = [c for c in new if c.isascii()]
-        for chunks, pattern in ((plain, 2), ([c for c in new if not c.isascii()], 1)):
-            if chunks:
-                self._add(chunks, *self._encode_joined(chunks, pattern))
-        for chunk in odd:
-            ids = []
-            for part in self._patterns()[0].split(self._full(chunk)):
-                if part in self.special:
-                    ids.append(np.array([self.special[part]], np.int32))
-                elif part:
-                    part = self._normal(part)
-                    words = [w.encode() for w in self._patterns()[4].findall(part) if not (self.suffix and w == "\n")]
-                    ids.append(self.encode_words(*flat_words(words))[0])
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            self._add([chunk], flat, np.array([len(flat)]))
+    def _odd_ids(self, chunk: str) -> np.ndarray:
+        """Ids of a chunk that may hold special tokens, ends in white space or holds the separator."""
+        ids = [np.empty(0, np.int32)]
+        for part in self._patterns()[0].split(self._full(chunk)):
+            if part in self.special:
+                ids.append(np.array([self.special[part]], np.int32))
+            elif part:
+                part = self._normal(part)
+                words = [w.encode() for w in self._patterns()[4].findall(part) if not (self.suffix and w == "\n")]
+                ids.append(self.encode_words(*flat_words(words))[0])
+        return np.concatenate(ids)
 
     def _full(self, chunk: str) -> str:
         if self.suffix:
@@ -386,8 +403,35 @@ class Bpe:
             return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
         return text
 
-    def _encode_joined(self, chunks: list[str], pattern: int) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and their number per chunk; the chunks are cut into words as one joined string."""
+    def _plain_pieces(self, raw: np.ndarray, size: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, bytes per word, chunk of each word) of ASCII chunks of ``size`` bytes, none empty.
+
+        Words are runs of letters, of digits and of other characters; ``blank``
+        tells which chunks have a blank before them, which belongs to their first word.
+        """
+        begin = np.cumsum(size) - size
+        if self.suffix:
+            text, start = _LOWER[raw], begin
+            kind = _KIND[text]
+            head = kind == 1
+        else:
+            blank = blank & (raw[begin] != 10)  # a line feed takes the place of the blank
+            wide = size + blank
+            start = np.cumsum(wide) - wide
+            text = np.full(len(raw) + int(blank.sum()), 32, np.uint8)
+            text[np.arange(len(raw)) + np.repeat(np.cumsum(blank), size)] = raw
+            kind = _KIND[text]
+            head = np.zeros(len(text), bool)
+        head[1:] |= kind[1:] != kind[:-1]
+        if not self.suffix:
+            head[start[blank] + 1] = False
+        head[start] = True
+        first = np.flatnonzero(head)
+        owner = np.repeat(np.arange(len(size)), np.add.reduceat(head, start, dtype=np.int64)) if len(size) else first
+        return text, np.diff(first, append=len(text)), owner
+
+    def _joined_pieces(self, chunks: list[str], pattern: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of any chunks but odd ones; they are cut into words as one joined string."""
         sep = "\n" if self.suffix else _SEP
         text = self._normal(sep.join(chunks if self.suffix else map(self._full, chunks)))
         pieces = self._patterns()[pattern].findall(text)
@@ -402,104 +446,98 @@ class Bpe:
             some = np.nonzero(head)[0]
             for k, b in enumerate(_SEP_BYTES[1:], 1):
                 head[some] &= raw[start[some] + k] == b
-        flat, counts = self.encode_words(raw[np.repeat(~head, size)], size[~head])
-        owner = np.cumsum(head)[~head]
-        return flat, np.bincount(owner, weights=counts, minlength=len(chunks)).astype(np.int64)
-
-    def _add(self, chunks: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
-        first = len(self.cache)
-        self.cache.update(zip(chunks, range(first, first + len(chunks)), strict=True))
-        self.spans.append(np.stack([np.cumsum(counts) - counts + self.n_pool, counts]))
-        self.pool.append(flat)
-        self.n_pool += len(flat)
-
-    n_pool = 0
-    #: Distinct chunks kept; beyond it those that came once are forgotten, which changes no result.
-    cache_chunks = 400_000
-
-    def forget(self) -> None:
-        """Drop the cache; the tables stay."""
-        self.cache, self.pool, self.spans, self.n_pool = {}, [], [], 0
-        self.hits = np.empty(0, np.int64)
-
-    def _prune(self) -> None:
-        """Keep at most half the cache: the chunks that came most often."""
-        least = max(2, int(np.partition(self.hits, -self.cache_chunks // 2)[-self.cache_chunks // 2]) + 1)
-        keep = np.nonzero(self.hits >= least)[0]
-        names = np.array(list(self.cache), object)[keep].tolist()
-        starts, lens = self.spans[0][:, keep]
-        ends = np.cumsum(lens)
-        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)
-        self.cache = dict(zip(names, range(len(names)), strict=True))
-        self.pool, self.spans, self.n_pool = [self.pool[0][take]], [np.stack([ends - lens, lens])], len(take)
-        self.hits = self.hits[keep] // 2
-
-    def _split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(place of each chunk in the list of distinct ones, chunks per text, distinct chunks).
-
-        Arrow cuts the texts and finds the distinct chunks; only those become
-        Python strings. Texts with uncommon white space are cut one by one.
+        return raw[np.repeat(~head, size)], size[~head], np.cumsum(head)[~head]
+
+    def _encode_distinct(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_words`` for words that repeat: each different word is encoded once."""
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        coded = words.dictionary_encode()
+        flat, counts = self.encode_words(*_bytes_of(coded.dictionary))
+        return _runs(flat, np.cumsum(counts) - counts, counts, np.asarray(coded.indices))
+
+    def _encode_chunks(self, names: pa.Array, heads: np.ndarray, more: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, first id and number of ids per chunk) of ``names``, of those at ``heads`` without a blank, of ``more``.
+
+        ASCII words and numbers are cut into words by their bytes, the others as
+        Python strings; then all words are encoded at once.
+        """
+        raw, size = _bytes_of(pa.concat_arrays([names, names.take(pa.array(heads))]))
+        blank = np.arange(len(size)) < len(names)
+        slow = np.concatenate(([0], np.cumsum(_SLOW[raw])))
+        ends = np.cumsum(size)
+        slow = slow[ends] > slow[ends - size]
+        fast = np.flatnonzero(~slow & (size > 0))
+        chosen = np.zeros(len(size), bool)
+        chosen[fast] = True
+        found = [(fast, self._plain_pieces(raw[np.repeat(chosen, size)], size[fast], blank[fast]))]
+        rest = np.flatnonzero(slow)
+        at = np.where(rest < len(names), rest, heads[np.maximum(rest - len(names), 0)] if len(heads) else 0)
+        chunks = names.take(pa.array(at)).to_pylist()
+        if not self.suffix:
+            chunks = [c if spaced else "\n\n" + c for c, spaced in zip(chunks, blank[rest].tolist(), strict=True)]
+        chunks += more
+        rest = np.concatenate((rest, len(size) + np.arange(len(more))))
+        odd = np.array([_SEP in c or "<|" in c and any(t in c for t in self.special) or c[-1:].isspace() for c in chunks], bool)
+        plain = np.array([c.isascii() for c in chunks], bool)
+        for some, pattern in ((np.flatnonzero(plain & ~odd), 2), (np.flatnonzero(~plain & ~odd), 1)):
+            if len(some):
+                found.append((rest[some], self._joined_pieces([chunks[i] for i in some.tolist()], pattern)))
+        flat, counts = self._encode_distinct(np.concatenate([f[0] for _, f in found]), np.concatenate([f[1] for _, f in found]))
+        owner = np.concatenate([at[f[2]] for at, f in found])
+        own = [self._odd_ids(chunks[i]) for i in np.flatnonzero(odd).tolist()]
+        n = np.bincount(owner, weights=counts, minlength=len(size) + len(more)).astype(np.int64)
+        order = np.concatenate([at for at, _ in found])
+        begin = np.zeros(len(n), np.int64)
+        begin[order] = np.cumsum(n[order]) - n[order]
+        begin[rest[odd]] = len(flat) + np.cumsum([0, *map(len, own)])[:-1]
+        n[rest[odd]] = [len(x) for x in own]
+        return np.concatenate([flat, *own]), begin, n
+
+    def _split(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, list[str]]:
+        """(place of each chunk among the distinct ones, chunks per text, and the distinct ones as ``_encode_chunks`` takes them).
+
+        Arrow cuts the texts and finds the distinct chunks. Texts with uncommon
+        white space are cut one by one.
         """
-        column = pa.array(texts, pa.large_string())
+        column = pc.cast(texts, pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         odd = np.asarray(pc.match_substring_regex(column, _OTHER_WS if self.suffix else _UNEVEN))
         lists = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(odd), "", column), "\n", " " if self.suffix else " \n"), " ")
         counts = np.diff(lists.offsets.to_numpy())
         coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        at = np.asarray(coded.indices).astype(np.int64)
-        owner = np.repeat(np.arange(len(texts)), counts)
-        nothing = names.index("") if "" in names else -1
-        if self.suffix:
-            keep = at != nothing
-        else:
-            keep = np.ones(len(at), bool)
-            keep[np.repeat(odd | np.asarray(pc.equal(column, "")), counts)] = False
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            first = first[keep[first]]
+        names, heads = coded.dictionary, np.empty(0, np.int64)
+        at = np.asarray(coded.indices)
+        if not self.suffix:
             # the first part of a text has no blank before it
+            some = counts > 0
+            first = (np.cumsum(counts) - counts)[some & ~odd & ~np.asarray(pc.equal(column, ""))]
             heads, place = np.unique(at[first], return_inverse=True)
+            at = at.copy()
             at[first] = len(names) + place
-            names += ["\n\n" + names[i] for i in heads.tolist()]
-        at, owner = at[keep], owner[keep]
-        counts = np.bincount(owner, minlength=len(texts)).astype(np.int64)
+        more: list[str] = []
         if odd.any():
             some = np.flatnonzero(odd)
-            parts = [self.chunks(texts[i]) for i in some.tolist()]
+            parts = [self.chunks(t) for t in column.take(pa.array(some)).to_pylist()]
             sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            more = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(parts)), len(names))}
-            values = np.fromiter((more[c] for p in parts for c in p), np.int64, int(sizes.sum()))
+            number = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(parts)), len(names) + len(heads))}
+            values = np.fromiter((number[c] for p in parts for c in p), np.int64, int(sizes.sum()))
             at = np.insert(at, np.repeat(np.cumsum(counts)[some], sizes), values)
-            counts[some] = sizes
-            names += list(more)
-        return at, counts, names
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts and the number of ids of each."""
-        if not self.cache:
-            self.forget()
-        elif len(self.cache) > self.cache_chunks:
-            self._prune()
-        at, n_parts, names = self._split(texts)
-        if not len(at):
-            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        used, at = np.unique(at, return_inverse=True)
-        names = [names[i] for i in used.tolist()]
-        new = set(names).difference(self.cache)
-        if new:
-            self._learn(list(new))
-            if len(self.pool) > 1:
-                self.pool, self.spans = [np.concatenate(self.pool)], [np.concatenate(self.spans, axis=1)]
-        known = np.fromiter(map(self.cache.__getitem__, names), np.int64, len(names))
-        seen = np.zeros(len(self.cache), np.int64)
-        np.add.at(seen, known, np.bincount(at, minlength=len(names)))
-        seen[: len(self.hits)] += self.hits
-        self.hits = seen
-        at = known[at]
-        starts, lens = self.spans[0][0][at], self.spans[0][1][at]
-        ends = np.cumsum(lens)
-        take = np.arange(ends[-1]) + np.repeat(starts - (ends - lens), lens)
-        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n_parts)))]
-        return self.pool[0][take], np.diff(upto)
+            counts = counts.copy()
+            counts[some] += sizes
+            more = list(number)
+        return at, counts, names, heads, more
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts and the number of ids of each; no text is null.
+
+        Nothing is kept from call to call: the more text a call gets, the more
+        of its words repeat and are encoded once.
+        """
+        at, n_parts, *distinct = self._split(texts)
+        pool, starts, lens = self._encode_chunks(*distinct)
+        flat, counts = _runs(pool, starts, lens, at)
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        return flat, np.diff(ends[np.concatenate(([0], np.cumsum(n_parts)))])
 
     # --- ids -> text --------------------------------------------------------
 

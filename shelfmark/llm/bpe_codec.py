@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import bounded_batches, bpe_of, documents, text_groups
+from shelfmark.llm.common import ENCODE_CHARS, bounded_batches, bpe_of, documents, text_groups
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -29,13 +29,12 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = bpe_of(path)
         for batch in batches:
-            for first, texts in text_groups(batch[text].tolist()):
+            for first, texts in text_groups(batch[text].tolist(), ENCODE_CHARS):
                 flat, counts = bpe.encode(texts)
                 raw, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
                 part = batch.iloc[first : first + len(texts)][kept].copy()
                 part[out] = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
                 yield part
-        bpe.forget()
 
     return df.select(*kept, text).mapInPandas(run, schema)
 

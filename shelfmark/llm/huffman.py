@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bounded_batches, bpe_of, documents, drop_per_worker, stored, text_groups
+from shelfmark.llm.common import arrow_groups, bounded_batches, bpe_of, documents, drop_per_worker, give_back, stored
 from shelfmark.session import scratch_path
 
 BLOCK = 256
@@ -129,21 +130,21 @@ def unpack_bits(stream: bytes, starts: np.ndarray, counts: np.ndarray, symbol, l
 def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, ids): the ids of every text and the end id, two bytes each where they fit, else four."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(path)
         kind = "<u2" if len(bpe.token_text) <= 1 << 16 else "<u4"
         step = int(kind[-1])
-        for batch in batches:
-            for first, texts in text_groups(batch["text"].tolist()):
-                flat, counts = bpe.encode(texts)
-                ends = np.cumsum(counts)
-                raw = np.insert(flat, ends, end_id).astype(kind).tobytes()
-                cut = (step * (ends + np.arange(1, len(ends) + 1))).tolist()
-                ids = [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[first : first + len(texts)], "width": step, "ids": ids})
-        bpe.forget()
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, width int, ids binary")
+        for batch in arrow_groups(batches):
+            flat, counts = bpe.encode(batch["text"])
+            ends = np.cumsum(counts)
+            raw = np.insert(flat, ends, end_id).astype(kind).tobytes()
+            cut = (step * (ends + np.arange(1, len(ends) + 1))).tolist()
+            ids = pa.array([raw[a:b] for a, b in zip([0, *cut], cut, strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.full(len(ids), step, np.int32)), ids], ["doc_id", "width", "ids"])
+        give_back()
+
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return known.mapInArrow(run, "doc_id long, width int, ids binary")
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:

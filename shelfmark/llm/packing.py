@@ -22,47 +22,58 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import bounded_batches, bpe_of, crc32_rows, documents, text_groups
+from shelfmark.llm.common import arrow_groups, bounded_batches, bpe_of, crc32_rows, documents, give_back
 from shelfmark.session import materialize
 
 CAPACITY = 1024
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
+#: The task that wrote a row, and how many rows of its length the task wrote before.
+_PLACE = [T.StructField("_part", T.IntegerType()), T.StructField("_rank", T.LongType())]
+
+
+def _ranks(length: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Number of every row among those of its length, from ``seen`` of that length on; ``seen`` counts them."""
+    order = np.argsort(length, kind="stable")
+    n = np.bincount(length, minlength=len(seen))
+    rank = np.empty(len(length), np.int64)
+    rank[order] = np.arange(len(length)) - np.repeat(np.cumsum(n) - n - seen, n)
+    seen += n
+    return rank
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 2) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): documents as ids with the end id, long ones cut.
+    """(doc_id, piece, start, length, ids_crc32, _part, _rank): documents as ids with the end id, long ones cut.
 
-    All pieces of a long document but the first are full.
+    All pieces of a long document but the first are full. Pieces are numbered
+    where they are made: a second function would hold a second worker a task.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = bpe_of(path)
-        for batch in batches:
-            for first, texts in text_groups(batch["text"].tolist()):
-                flat, counts = bpe.encode(texts)
-                flat = np.insert(flat, np.cumsum(counts), end_id)
-                counts = counts + 1
-                pieces = -(-counts // capacity)
-                doc = np.repeat(np.arange(len(texts)), pieces)
-                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                head = counts - (pieces - 1) * capacity
-                start = np.where(piece == 0, 0, head[doc] + (piece - 1) * capacity)
-                length = np.where(piece == 0, head[doc], capacity)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": batch["doc_id"].iloc[first : first + len(texts)].to_numpy()[doc],
-                        "piece": piece,
-                        "start": start,
-                        "length": length,
-                        "ids_crc32": crc32_rows(flat, np.cumsum(length)),
-                    }
-                )
-        bpe.forget()
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, seen, part = bpe_of(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        for batch in arrow_groups(batches):
+            flat, counts = bpe.encode(batch["text"])
+            flat = np.insert(flat, np.cumsum(counts), end_id)
+            counts = counts + 1
+            pieces = -(-counts // capacity)
+            doc = np.repeat(np.arange(len(counts)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            head = counts - (pieces - 1) * capacity
+            start = np.where(piece == 0, 0, head[doc] + (piece - 1) * capacity)
+            length = np.where(piece == 0, head[doc], capacity)
+            crc = crc32_rows(flat, np.cumsum(length))
+            columns = [batch["doc_id"].take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            columns += [pa.array(np.full(len(doc), part, np.int32)), pa.array(_ranks(length, seen))]
+            yield pa.RecordBatch.from_arrays(columns, [*PIECE, "_part", "_rank"])
+        give_back()
+
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return known.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _rank long")
 
 
 def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -102,21 +113,20 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[int, int
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; lengths must lie between 1 and ``capacity``."""
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    more = [T.StructField("_part", T.IntegerType()), T.StructField("_rank", T.LongType())]
-    schema = T.StructType([*(pieces.schema[c] for c in names), *more])
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        seen: dict[int, int] = {}
-        part = TaskContext.get().partitionId()
+        seen, part = np.zeros(capacity + 2, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            rank = batch.groupby("length").cumcount() + batch["length"].map(lambda n: seen.get(n, 0))
-            for n, k in batch["length"].value_counts().items():
-                seen[n] = seen.get(n, 0) + k
-            yield batch.assign(_part=part, _rank=rank)
+            # lengths out of bounds are refused by their counts, below
+            yield batch.assign(_part=part, _rank=_ranks(np.clip(batch["length"].to_numpy(), 0, capacity + 1), seen))
+
+    schema = T.StructType([*(pieces.schema[c] for c in names), *_PLACE])
+    return _placed(pieces.select(*names).mapInPandas(number, schema), names, capacity)
+
 
-    numbered = materialize(pieces.select(*names).mapInPandas(number, schema), "pieces")
+def _placed(pieces: DataFrame, names: list[str], capacity: int) -> DataFrame:
+    """The columns ``names`` of numbered pieces, and their places."""
+    numbered = materialize(pieces, "pieces")
     per_part = numbered.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("_part", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -146,7 +156,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 2) -> DataFrame:
-    return pack(token_pieces(docs, path, capacity, end_id), capacity)
+    return _placed(token_pieces(docs, path, capacity, end_id), PIECE, capacity)
 
 
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import bounded_batches, documents, set_apart
+from shelfmark.llm.common import bounded_batches, documents, drop_per_worker, set_apart
 from shelfmark.session import materialize
 
 MIN_WORDS = 50
@@ -85,6 +85,7 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in MEASURES)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_per_worker("bpe")
         for batch in batches:
             found = np.array([measure_text(t if isinstance(t, str) else "") for t in batch["text"]], np.int64).reshape(-1, len(MEASURES))
             yield batch[list(keep)].assign(**{c: found[:, i] for i, c in enumerate(MEASURES)})

@@ -49,6 +49,36 @@ def test_cache_starts_anew_without_change():
         assert bpe.encode([text])[0].tolist() == own.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_keeps_nothing_and_encodes_each_word_once(name, monkeypatch):
+    bpe, words = Bpe(public_tokenizers.path(name)), []
+    inner = bpe.encode_words
+    monkeypatch.setattr(bpe, "encode_words", lambda text, size: (words.append(len(size)), inner(text, size))[1])
+    texts = ["one two, (two) one\ntwo! one" + " two one" * 500] * 20
+    before = set(vars(bpe))
+    assert bpe.encode(texts)[0].tolist() == [i for t in texts for i in library(name).encode(t, add_special_tokens=False).ids]
+    assert sum(words) <= 12  # with and without a blank, marks
+    assert set(vars(bpe)) - before <= {"_pats"}
+
+
+def test_odd_ascii_chunks_equal_library():
+    texts = ["'", "a'", "don't 's", "<", "<a <| a<|b", "x\x00y \x01", "12ab34 a1b2!!c", "\nA\nb", "A.B,C;1,2 THE The", "\ufdd0 a\ufdd0b", "\n", "\n\n"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        bpe, own = Bpe(public_tokenizers.path(name)), library(name)
+        for t in texts:
+            assert bpe.encode([t])[0].tolist() == own.encode(t, add_special_tokens=False).ids
+
+
+def test_pieces_are_numbered_by_the_worker_that_makes_them(spark):
+    pieces = packing.token_pieces(odd_docs(spark), public_tokenizers.path("byte_bpe_50k.json"))
+    plan = packing.pack_documents(odd_docs(spark), public_tokenizers.path("byte_bpe_50k.json"))
+    assert {"_part", "_rank"} <= set(pieces.columns) and not {"_part", "_rank"} & set(plan.columns)
+    by_length = {}
+    for r in pieces.collect():
+        by_length.setdefault((r["_part"], r["length"]), []).append(r["_rank"])
+    assert all(sorted(ranks) == list(range(len(ranks))) for ranks in by_length.values())
+
+
 def test_op5(spark, tmp_path):
     own = library("word_bpe_49k.json")
     rows = {}
