@@ -45,6 +45,8 @@ PARTS = 3
 #: Bytes of text, and lines of it, that a task works on in one step.
 STEP_BYTES = 4 << 20
 STEP_LINES = 1 << 14
+#: Bytes whose words are hashed at once.
+HASH_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -61,17 +63,40 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
+def word_hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words per line, hash of every word) of lines whose words are joined by blanks.
+
+    A word's hash is a polynomial of numbers drawn for its bytes, mixed; all
+    words of about ``HASH_BYTES`` are hashed at once.
+    """
+    lines = pc.cast(lines, pa.large_binary())
+    _, offsets, raw = lines.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[lines.offset : lines.offset + len(lines) + 1] if len(lines) else np.zeros(1, np.int64)
+    raw = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
+    numbers = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 64, 256, np.uint64)  # the same in every task
+    longest = max(HASH_BYTES, int(np.diff(offsets).max(initial=0)))
+    up, down = _powers(_BASE, longest), _powers(_INVERSE, longest)
+    many, found, i = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    while i < len(lines):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + HASH_BYTES, "right")) - 1)
+        part, ends = raw[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i]
+        blanks = np.flatnonzero(part == 32)
+        stop = np.sort(np.concatenate((blanks, ends)))  # ends of words
+        start = np.concatenate((np.zeros(1, np.int64), stop[:-1] + (part[np.minimum(stop[:-1], len(part) - 1)] == 32)))
+        # a line may begin behind another one without a blank between them: its own first byte is no blank
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(numbers[part] * up[: len(part)])))
+        found.append(_mixed((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64)))
+        many.append(np.diff(np.searchsorted(stop, ends, "right"), prepend=0))
+        i = j
+    return np.concatenate(many).astype(np.int64), np.concatenate(found)
+
+
 class Lines:
     """Lines as polynomials of their words' hashes."""
 
     def __init__(self, words: pa.Array):
         """``words``: every line's words, joined by blanks."""
-        lists = pc.split_pattern(words, b" ")
-        self.n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), np.uint64, len(distinct))
-        h = hashed[np.asarray(coded.indices)]
+        self.n, h = word_hashes(words)
         self.start = np.cumsum(self.n) - self.n
         inner = np.arange(len(h)) - np.repeat(self.start, self.n)
         top = int(self.n.max(initial=0))
@@ -126,9 +151,9 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch], once: bool = False) -> It
     """The distinct lines of some documents: hash (hi, lo), first occurrence there and words.
 
     ``once``: only lines that can be near others, and without those that an
-    earlier step of the task has had.
+    earlier step of the task has had at an earlier place.
     """
-    seen: set[int] = set()
+    seen: dict[int, int] = {}
     least = MIN_WORDS if once else 1
     for batch in _small(batches):
         lists = pc.split_pattern(batch["text"].cast(pa.large_binary()), b"\n")
@@ -150,8 +175,12 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch], once: bool = False) -> It
                 [pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array(doc[at]), pa.array(place[at].astype(np.int32)), pa.array(some, pa.binary())], ["hi", "lo", "doc_id", "place", "words"]
             )
             if once:
-                new = [x not in seen for x in raw[:, 1].tolist()]
-                seen.update(raw[:, 1].tolist())
+                new = []
+                for x, d, k in zip(raw[:, 1].tolist(), doc[at].tolist(), place[at].tolist(), strict=True):
+                    here = d << 40 | k
+                    new.append(here < seen.get(x, here + 1))
+                    if new[-1]:
+                        seen[x] = here
                 part = part.filter(pa.array(new, pa.bool_()))
                 if len(seen) > 1 << 18:  # repeated lines only cost their keys again
                     seen.clear()
@@ -205,8 +234,12 @@ def shared_keys(docs: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def near_earlier(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(hi, lo): distinct lines with a near line whose first occurrence is earlier."""
+def near_earlier(docs: DataFrame) -> DataFrame:
+    """(hi, lo): distinct lines with a near line whose first occurrence is earlier.
+
+    Every task with a line emits all its variants at the line's first place
+    there, so that their minima know the line's first occurrence.
+    """
     marks = docs.sparkSession.sparkContext.broadcast(shared_keys(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,28 +262,30 @@ def near_earlier(docs: DataFrame, lines: DataFrame) -> DataFrame:
             # the words travel once per line, with the line itself
             words = part["words"].take(pa.array(owner, mask=kind != 0))
             at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate(keys)), part["hi"].take(at), part["lo"].take(at), words], ["kind", "key", "hi", "lo", "words"])
+            columns = [pa.array(kind), pa.array(np.concatenate(keys)), *(part[c].take(at) for c in ("hi", "lo", "doc_id", "place")), words]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "hi", "lo", "doc_id", "place", "words"])
 
-    emitted = _texts(docs).mapInArrow(run, "kind int, key long, hi long, lo long, words binary")
+    emitted = _texts(docs).mapInArrow(run, "kind int, key long, hi long, lo long, doc_id long, place int, words binary")
     # a line in many documents emits the same rows in many tasks
-    keys = emitted.groupBy("hi", "lo", "kind", "key").agg(F.min("words").alias("words"))
-    named = materialize(keys.join(lines, ["hi", "lo"]).withColumn("at", F.col("kind") == 2), "variants")
-    itself = F.col("kind") == 0
+    keys = emitted.groupBy("hi", "lo", "kind", "key").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.min("words").alias("words"))
+    itself, at = F.col("kind") == 0, F.col("kind") == 2
+    # a line's hash is needed once; elsewhere its first occurrence stands for it
+    own = [F.when(itself, F.col(c)).alias(c) for c in ("hi", "lo")]
+    named = materialize(keys.select("kind", "key", "first", *own, "words", at.alias("at")), "variants")
+    # ``alone``: the line itself; of variants at their position the last one, which tells whether there is another
     best = named.groupBy("key", "at").agg(
-        F.min("first").alias("any_first"),
-        F.max("first").alias("any_last"),
-        F.min(F.when(itself, F.col("first"))).alias("self_first"),
-        F.min(F.when(~itself, F.col("first"))).alias("other_first"),
+        F.min(F.when(~itself, F.col("first"))).alias("earliest"),
+        F.max(F.when(itself | at, F.col("first"))).alias("alone"),
     )
     # keys of one line alone meet nothing
-    best = best.filter("any_first <> any_last")
-    met = F.when(F.col("at"), F.col("any_first")).when(itself, F.col("other_first")).otherwise(F.col("self_first"))
-    found = named.drop("words").join(best, ["key", "at"]).withColumn("met", met).filter("met < first")
-    pairs = found.select("hi", "lo", "met").distinct()
+    best = best.filter("earliest <> alone")
+    met = F.when(at | itself, F.col("earliest")).otherwise(F.col("alone"))
+    found = named.select("kind", "key", "at", "first").join(best, ["key", "at"]).withColumn("met", met).filter("met < first")
+    pairs = found.select("first", "met").distinct()
     # each line with the earliest lines it meets, verified by their words
     texts = named.filter("kind = 0").select("hi", "lo", "first", "words")
     other = texts.select(F.col("first").alias("met"), F.col("words").alias("met_words"))
-    same = pairs.join(texts.select("hi", "lo", "words"), ["hi", "lo"]).join(other, "met")
+    same = pairs.join(texts, "first").join(other, "met")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -270,7 +305,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with new texts, and ``n_lines`` and ``n_dropped`` of each."""
     known = docs.filter("doc_id is not null and text is not null")
     lines = materialize(line_table(known), "lines")
-    kept = lines.join(near_earlier(known, lines), ["hi", "lo"], "left_anti").select("first.doc_id", "first.place")
+    kept = lines.join(near_earlier(known), ["hi", "lo"], "left_anti").select("first.doc_id", "first.place")
     per_doc = kept.groupBy("doc_id").agg(F.collect_list("place").alias("_places"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     counts = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]

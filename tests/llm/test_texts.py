@@ -7,8 +7,10 @@ import random
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from shelfmark.checks import compare
 from shelfmark.llm import line_dedup, lz_fingerprint, quality, simhash, toxicity
@@ -347,6 +349,38 @@ def test_line_dedup(spark, seed):
     assert Counter((r["doc_id"], r["text"]) for r in done.collect()) == Counter(plain_line_dedup(rows))
 
 
+def test_first_places_are_known_in_any_order_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "STEP_BYTES", 1)  # a document a step, the latest first
+    line = "one two three four five six seven eight nine"
+    texts = [line, line.replace("two", "2"), line + " ten", "x", line, line[4:]]
+    rows = [(i, texts[i * 5 % 6]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").orderBy(F.desc("doc_id")).coalesce(1)
+    done = line_dedup.dedup_lines(docs)
+    assert Counter((r["doc_id"], r["text"]) for r in done.collect()) == Counter(plain_line_dedup(rows))
+
+
+def test_variants_do_not_meet_the_lines(spark, monkeypatch):
+    tables, inner = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, label: (tables.update({label: df._jdf.queryExecution().toString()}), inner(df, label))[1])
+    line_dedup.dedup_lines(odd_docs(spark)).collect()
+    assert "Join" not in tables["variants"]
+
+
+def test_word_hashes():
+    words = [w.encode() for w in "a b ab ba é日本 aa a b x".split()] + [b"a" * 700]
+    lines = [b" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)]
+    for size in (1 << 18, 7):
+        line_dedup.HASH_BYTES, before = size, line_dedup.HASH_BYTES
+        try:
+            n, found = line_dedup.word_hashes(pa.array(lines, pa.binary()))
+        finally:
+            line_dedup.HASH_BYTES = before
+        assert n.tolist() == [len(x.split()) for x in lines]
+        by_word = dict(zip([w for x in lines for w in x.split()], found.tolist(), strict=True))
+        assert len(set(by_word.values())) == len(set(words))
+        assert [by_word[w] for x in lines for w in x.split()] == found.tolist()
+
+
 def test_near_words():
     a = list(b"abcdefgh")
     assert line_dedup.near(a, a) and line_dedup.near(a, a[1:]) and line_dedup.near(a[:-1], a) and line_dedup.near(a, a[:3] + [1] + a[4:])
