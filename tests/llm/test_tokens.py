@@ -93,6 +93,31 @@ def test_op5(spark, tmp_path):
     assert rows == want
 
 
+def test_op5_holds_one_python_worker_a_task(spark, tmp_path):
+    rows = QUERIES["op5_bpe_codec"](spark, as_table(spark, odd_docs(spark), tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("MapInPandas") == 1
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_round_trip_is_decode_of_encode(spark, name):
+    path, docs = public_tokenizers.path(name), with_clashes(odd_docs(spark))
+    both = bpe_codec.round_trip(docs, path)
+    apart = bpe_codec.decode(bpe_codec.encode(docs, path), path)
+    assert set(both.columns) == set(apart.columns) and bpe_codec.round_trip(empty_docs(spark), path).count() == 0
+    rows = [sorted(repr(sorted(r.asDict().items())) for r in df.collect()) for df in (both, apart)]
+    assert rows[0] == rows[1] and len(rows[0]) == len(odd_rows())
+
+
+def test_codec_keeps_large_numbers_beside_nulls(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(2**53 + 1, "a"), (None, "b")], "doc_id long, text string").coalesce(1)
+    back = bpe_codec.decode(bpe_codec.encode(docs, path), path)
+    assert {(r["doc_id"], r["decoded"]) for r in back.collect()} == {(2**53 + 1, "a"), (None, "b")}
+    nulls = spark.createDataFrame([(1, None)], "doc_id long, ids binary")
+    assert [tuple(r) for r in bpe_codec.decode(nulls, path).collect()] == [(1, None, "")]
+
+
 def test_codec_keeps_columns(spark):
     docs = with_clashes(odd_docs(spark))
     path = public_tokenizers.path("byte_bpe_50k.json")
